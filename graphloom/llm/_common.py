@@ -47,12 +47,17 @@ def with_results(
     text: str,
     fn: Callable[[list[str]], list[pa.Array]],
     fields: list[T.StructField],
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Rows of ``df`` as struct ``row`` next to the result columns that ``fn`` makes of the texts of a batch.
 
+    ``carry`` names the columns that ``row`` keeps, all by default; others don't travel back.
+
     Keeping the input in one struct means that its column names can clash with nothing.
     """
-    schema = T.StructType([T.StructField("row", df.schema), *fields])
+    carry = df.columns if carry is None else carry
+    row = F.struct(*[F.col(f"`{c}`") for c in carry])
+    schema = T.StructType([T.StructField("row", df.select(row).schema[0].dataType), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -60,5 +65,5 @@ def with_results(
                 columns = fn(batch.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *(f.name for f in fields)])
 
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), doc_text(text).alias("text"))
+    packed = df.select(row.alias("row"), doc_text(text).alias("text"))
     return packed.mapInArrow(run, schema)

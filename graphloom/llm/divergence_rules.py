@@ -10,6 +10,7 @@ since a short text's histogram says little.
 from __future__ import annotations
 
 import re
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -30,12 +31,16 @@ COMMON = {
 }
 MIN_CHARS = 200
 MIN_WORDS = 50
+#: Either distance alone rejects beyond these ...
 MAX_CLASS_DISTANCE = 0.30
 MAX_WORD_DISTANCE = 0.60
+#: ... and both together beyond these; a histogram of n words strays from its source by about 1 / sqrt(n).
+BOTH_CLASS_DISTANCE = 0.17
+BOTH_WORD_DISTANCE = 0.15
+WORD_SLACK = 1.25
 SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 ASCII_CLASS = np.array([0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c == 32 or 9 <= c <= 13 else 5 if chr(c) in ".,;:!?'\"()-" else 6 if 33 <= c <= 126 else 7 for c in range(128)], np.uint8)
 LETTER = re.compile(r"[^\W\d_]")
-PUNCTUATION_ENDS = ".,;:!?\"'()"
 FIELDS = [
     *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
     T.StructField("class_counts", T.ArrayType(T.LongType())),
@@ -106,13 +111,11 @@ def class_histogram(text: str) -> list[int]:
 
 
 def word_histogram(words: list[bytes], common: dict[bytes, int]) -> list[int]:
-    from itertools import repeat
-
     n = len(set(common.values()))
     return np.bincount(np.fromiter(map(common.get, words, repeat(n)), np.int64, len(words)), minlength=n + 1).tolist()
 
 
-def features(docs: DataFrame, text: str, common: dict[str, list[str]]) -> DataFrame:
+def features(docs: DataFrame, text: str, common: dict[str, list[str]], carry: list[str] | None) -> DataFrame:
     order = sorted({w for ws in common.values() for w in ws})
     index = {form: i for i, w in enumerate(order) for form in {w.encode(), *((w + e).encode() for e in ".,;:!?")}}
 
@@ -127,7 +130,7 @@ def features(docs: DataFrame, text: str, common: dict[str, list[str]]) -> DataFr
         columns = list(zip(*rows))
         return [pa.array(c, pa.int64() if k < 5 else pa.list_(pa.int64())) for k, c in enumerate(columns)]
 
-    return with_results(docs, text, run, FIELDS)
+    return with_results(docs, text, run, FIELDS, carry)
 
 
 def shares(counts: str) -> F.Column:
@@ -162,16 +165,24 @@ def judge(
     min_words: int = MIN_WORDS,
     max_class: float = MAX_CLASS_DISTANCE,
     max_words: float = MAX_WORD_DISTANCE,
+    both_class: float = BOTH_CLASS_DISTANCE,
+    both_words: float = BOTH_WORD_DISTANCE,
+    word_slack: float = WORD_SLACK,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Each row of ``docs`` (struct ``row``) with its base counts, both distances, ``base_failed`` and ``kept``.
 
+    ``carry`` names the columns that ``row`` keeps (all by default; the language is always among them).
+
     Null texts count as empty; a null language is a language of its own. A document under
     ``min_chars`` characters or ``min_words`` words has no distance of that kind (null) and isn't
     rejected by it; nor is one whose language has no reference. Repeated rows stay repeated; an empty
     table gives an empty result. Documents don't travel: only per-language medians are shuffled.
     """
     size = len({w for ws in common.values() for w in ws}) + 1
-    seen = features(docs, text, common)
+    if carry is not None and lang in docs.columns:
+        carry = [*dict.fromkeys([*carry, lang])]
+    seen = features(docs, text, common, carry)
     language = F.coalesce(F.col(f"row.`{lang}`").cast("string"), F.lit("")) if lang in docs.columns else F.lit("")
     seen = seen.withColumn("key", language)
     seen = materialize(seen, "features")
@@ -191,11 +202,13 @@ def judge(
     # a row per language; languages are not bounded by contract, so Catalyst picks the join by size
     out = seen.join(refs, F.col("key") == F.col("ref_key"), "left")
     out = out.withColumns({"class_distance": distance(F.col("class_share"), F.col("class_ref")), "word_distance": distance(F.col("word_share"), F.col("word_ref"))})
-    passed = (F.coalesce("class_distance", F.lit(0.0)) <= max_class) & (F.coalesce("word_distance", F.lit(0.0)) <= max_words)
+    by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
+    both = (by_class > both_class) & (by_word > both_words + word_slack / F.sqrt(F.greatest("n_words", F.lit(1))))
+    passed = (by_class <= max_class) & (by_word <= max_words) & ~both
     return out.withColumn("kept", ~F.col("base_failed") & passed).drop("key", "ref_key", "class_share", "word_share", "class_ref", "word_ref", "class_counts", "word_counts")
 
 
 def query(docs: DataFrame) -> DataFrame:
-    return judge(docs.select("doc_id", "text", "lang").withColumn("text", F.col("text"))).select(
+    return judge(docs, carry=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "class_distance", "word_distance"
     )

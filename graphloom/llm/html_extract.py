@@ -221,7 +221,7 @@ def extract(page: str) -> str:
     return "\n".join(article(blocks(page)))
 
 
-def extract_rows(pages: DataFrame, html: str = "html") -> DataFrame:
+def extract_rows(pages: DataFrame, html: str = "html", carry: list[str] | None = None) -> DataFrame:
     """Each row of ``pages`` (struct ``row``) with the main text of its ``html`` in ``text``.
 
     A null or empty page, and a page without main text, gives an empty text. Repeated rows stay
@@ -231,11 +231,11 @@ def extract_rows(pages: DataFrame, html: str = "html") -> DataFrame:
     def run(texts: list[str]) -> list[pa.Array]:
         return [pa.array([extract(t) for t in texts], pa.string())]
 
-    return with_results(pages, html, run, [T.StructField("text", T.StringType())])
+    return with_results(pages, html, run, [T.StructField("text", T.StringType())], carry)
 
 
 def query(pages: DataFrame) -> DataFrame:
-    return extract_rows(pages.select("page_id", "url", "html")).select(
+    return extract_rows(pages, carry=["page_id", "url"]).select(
         F.col("row.page_id").alias("page_id"),
         F.col("row.url").alias("url"),
         "text",

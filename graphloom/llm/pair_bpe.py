@@ -185,7 +185,7 @@ def model(path: str) -> PairIndexBPE:
 FIELDS = [T.StructField("ids", T.BinaryType()), T.StructField("decoded", T.StringType())]
 
 
-def encode_rows(docs: DataFrame, tokenizer_path: str, text: str = "text") -> DataFrame:
+def encode_rows(docs: DataFrame, tokenizer_path: str, text: str = "text", carry: list[str] | None = None) -> DataFrame:
     """Each row of ``docs`` (struct ``row``), its ids (packed little-endian unsigned 32-bit) and the decoded text.
 
     A null text counts as empty and has no ids. Repeated rows stay repeated; an empty table gives an
@@ -198,11 +198,11 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, text: str = "text") -> Dat
         packed = bpe.encode_batch(texts)
         return [pa.array(packed, pa.binary()), pa.array([bpe.decode(p) for p in packed], pa.string())]
 
-    return with_results(docs, text, run, FIELDS)
+    return with_results(docs, text, run, FIELDS, carry)
 
 
 def query(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    return encode_rows(docs, tokenizer_path).select(
+    return encode_rows(docs, tokenizer_path, carry=["doc_id"]).select(
         F.col("row.doc_id").alias("doc_id"),
         (F.length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

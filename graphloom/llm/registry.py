@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import divergence_rules, html_extract, pair_bpe, tiling, warc_writer
+from graphloom.llm import chat_expand, divergence_rules, html_extract, pair_bpe, tiling, viterbi_count, warc_writer
 
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -24,10 +24,18 @@ def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.query(table(spark, sf_dir, "documents"))
 
 
+def op6_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return viterbi_count.query(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+
+
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc_writer.query(table(spark, sf_dir, "pages"))
 
 
+def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_expand.query(table(spark, sf_dir, "conversations"))
+
+
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pair_bpe.query(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
@@ -37,7 +45,7 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tag_paths, op3_divergence, op7_warc, op9_bpe, op10_tiling)}
+    return {f.__name__: f for f in (op1_tag_paths, op3_divergence, op6_viterbi, op7_warc, op8_prefix_targets, op9_bpe, op10_tiling)}
 
 
 def oracle_sql() -> dict[str, str]:

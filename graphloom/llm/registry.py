@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from graphloom.llm import chat_expand, divergence_rules, html_extract, pair_bpe, probminhash, tiling, viterbi_count, warc_writer, weak_pii
+from graphloom.llm import chat_expand, divergence_rules, html_extract, lm_score, pair_bpe, probminhash, tiling, viterbi_count, warc_writer, weak_pii
 
 TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
 
@@ -20,6 +20,10 @@ def op1_tag_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.query(table(spark, sf_dir, "pages"))
 
 
+def op2_deleted_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.query(table(spark, sf_dir, "documents"))
+
+
 def op3_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence_rules.query(table(spark, sf_dir, "documents"))
 
@@ -53,7 +57,7 @@ def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_tag_paths, op3_divergence, op4_probminhash, op5_weak_pii, op6_viterbi, op7_warc, op8_prefix_targets, op9_bpe, op10_tiling)}
+    return {f.__name__: f for f in (op1_tag_paths, op2_deleted_interpolation, op3_divergence, op4_probminhash, op5_weak_pii, op6_viterbi, op7_warc, op8_prefix_targets, op9_bpe, op10_tiling)}
 
 
 def oracle_sql() -> dict[str, str]:

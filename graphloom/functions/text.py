@@ -30,6 +30,11 @@ def nfkc(text: pd.Series) -> pd.Series:
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))
 
 
+def let(value: F.Column, use) -> F.Column:
+    """``use`` of a value that is worked out once, however often it is used; a plain column would be copied into each use."""
+    return F.transform(F.array(value), lambda v: use(v))[0]
+
+
 def clean_text(text: F.Column, unescape=None) -> F.Column:
     """No reference marks, blank runs as one space, lines trimmed and blank lines dropped; null gives an empty text."""
     text = F.coalesce(text, F.lit(""))
@@ -46,12 +51,12 @@ def sentences(text: F.Column, ends: str = SENTENCE_END) -> F.Column:
     """Sentences of each line: cut after an end mark, trimmed, blank ones dropped."""
     marks = "".join(f"\\{c}" if c in "\\]^-[" else c for c in ends)
     cut = F.flatten(F.transform(F.split(text, "\n", -1), lambda line: F.split(line, f"(?<=[{marks}])", -1)))
-    return F.filter(F.transform(cut, F.trim), lambda s: s != "")
+    return F.filter(F.transform(cut, lambda x: F.trim(x)), lambda s: s != "")
 
 
 def short_evidence(text: F.Column, limit: int = 180) -> F.Column:
-    one = F.trim(F.regexp_replace(text, r"[\n]+", " "))
-    return F.when(F.length(one) > limit, F.concat(F.substring(one, 1, limit), F.lit("..."))).otherwise(one)
+    whole = F.trim(F.regexp_replace(text, r"[\n]+", " "))
+    return let(whole, lambda one: F.when(F.length(one) > limit, F.concat(F.substring(one, 1, limit), F.lit("..."))).otherwise(one))
 
 
 def strip(text: F.Column, chars: str) -> F.Column:
@@ -73,14 +78,15 @@ def node_name(text: F.Column, label: F.Column, normal_form=nfkc) -> F.Column:
     def tidy(t: F.Column) -> F.Column:
         return strip(F.regexp_replace(F.regexp_replace(t, r"[\u0000-\u001f\u007f]", ""), r"[\s 　 -   ]+", ""), NAME_EDGES)
 
+    def by_label(name: F.Column) -> F.Column:
+        symptom = F.regexp_replace(name, f"^(?:{'|'.join(SYMPTOM_LEADS)})+", "")
+        symptom = F.regexp_replace(F.regexp_replace(symptom, "(?:等症状)$", ""), "(?:症状)$", "")
+        drug = F.regexp_replace(name, f"^(?:{'|'.join(DRUG_LEADS)})", "")
+        exam = F.regexp_replace(F.regexp_replace(name, "等检查$", ""), "等检测$", "")
+        return tidy(F.when(label == "Symptom", symptom).when(label == "Drug", drug).when(label == "Examination", exam).otherwise(name))
+
     name = F.coalesce(text, F.lit(""))
-    name = tidy(normal_form(name) if normal_form is not None else name)
-    symptom = F.regexp_replace(name, f"^(?:{'|'.join(SYMPTOM_LEADS)})+", "")
-    symptom = F.regexp_replace(symptom, "(?:等症状)$", "")
-    symptom = F.regexp_replace(symptom, "(?:症状)$", "")
-    drug = F.regexp_replace(name, f"^(?:{'|'.join(DRUG_LEADS)})", "")
-    exam = F.regexp_replace(F.regexp_replace(name, "等检查$", ""), "等检测$", "")
-    return tidy(F.when(label == "Symptom", symptom).when(label == "Drug", drug).when(label == "Examination", exam).otherwise(name))
+    return let(tidy(normal_form(name) if normal_form is not None else name), by_label)
 
 
 # Lead-ins and endings of terms and lists, in order.
@@ -107,12 +113,11 @@ def after_marker(text: F.Column, markers: list[str]) -> F.Column:
     """What follows the marker that comes first in the text; of markers at one place the first listed. Null if there is none."""
     hits = F.array(*[F.struct(F.instr(text, m).alias("at"), F.lit(i).alias("rank"), F.lit(len(m)).alias("n")) for i, m in enumerate(markers)])
     first = F.array_min(F.filter(hits, lambda h: h["at"] > 0))
-    return F.when(first.isNotNull(), F.substr(text, first["at"] + first["n"]))
+    return let(first, lambda f: F.when(f.isNotNull(), F.substr(text, f["at"] + f["n"])))
 
 
 def is_candidate(name: F.Column, limit: int = 24) -> F.Column:
-    size = F.length(name)
-    return (size >= 2) & (size <= limit) & name.rlike("[\\u4e00-\\u9fffA-Za-z0-9]") & ~name.rlike("[，,。；;]")
+    return let(name, lambda n: (F.length(n) >= 2) & (F.length(n) <= limit) & n.rlike("[\\u4e00-\\u9fffA-Za-z0-9]") & ~n.rlike("[，,。；;]"))
 
 
 def full_text(summary: F.Column | None, sections: F.Column) -> F.Column:
@@ -146,7 +151,7 @@ def parse_confidence(value: F.Column) -> F.Column:
 
 
 def split_ids(value: F.Column, pattern: str = r"[;,\s]+") -> F.Column:
-    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(value, pattern, -1), F.trim), lambda x: x != "")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(F.split(value, pattern, -1), lambda x: F.trim(x)), lambda x: x != "")))
 
 
 def label_of(node_id: F.Column) -> F.Column:

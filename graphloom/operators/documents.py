@@ -30,7 +30,7 @@ def clean_mapping(entries: F.Column, unescape=None) -> F.Column:
 
 
 def clean_images(images: F.Column) -> F.Column:
-    return F.array_distinct(F.filter(F.transform(images, F.trim), lambda i: i != ""))
+    return F.array_distinct(F.filter(F.transform(images, lambda x: F.trim(x)), lambda i: i != ""))
 
 
 def clean_documents(raw: DataFrame, now: F.Column | None = None, unescape=None) -> DataFrame:

@@ -79,10 +79,14 @@ def treatment_terms(s: Column) -> Column:
     return F.concat(known_terms(s, lx.RECALL_TREATMENTS), implied)
 
 
+def after(word: str):
+    return lambda v: F.when(F.contains(v, F.lit(word)), F.substr(v, F.instr(v, word) + len(word))).otherwise(v)
+
+
 def refine_disease(t: Column) -> Column:
     value = F.element_at(F.split(tx.term_name(t), "[:：]", 2), 1)
     for trigger in DISEASE_TRIGGERS:
-        value = F.when(F.contains(value, F.lit(trigger)), F.substr(value, F.instr(value, trigger) + len(trigger))).otherwise(value)
+        value = tx.let(value, after(trigger))
     return tx.term_name(value)
 
 

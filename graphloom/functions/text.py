@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 # Line breaks, as a text is split into lines, and reference marks such as [3] or [2-4].
 LINE_BREAKS = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
@@ -18,13 +19,13 @@ SENTENCE_END = "。！？!?；;"
 NAME_EDGES = " \t\r\n\"'“”‘’[]【】()（）:：,，.。;；!！?？、"
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def html_unescape(text: pd.Series) -> pd.Series:
     """Character references decoded. Spark has no such function; texts without "&" don't come here."""
     return text.map(lambda t: None if t is None else html.unescape(t))
 
 
-@pandas_udf("string")
+@pandas_udf(StringType())
 def nfkc(text: pd.Series) -> pd.Series:
     """Unicode compatibility composition, which Spark lacks."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

@@ -7,16 +7,19 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 
-def debounce(events: DataFrame, user: str, ts: str, value: str, gap: str = "200 milliseconds", delay: str | None = "10 seconds") -> DataFrame:
+def watermarked(events: DataFrame, ts: str, delay: str) -> DataFrame:
+    """A stream with event time; watermarks need a timestamp with a zone, which the session's (UTC) gives. Tables stay."""
+    return events.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, delay) if events.isStreaming else events
+
+
+def debounce(events: DataFrame, user: str, ts: str, value: str, gap: str = "200 milliseconds", delay: str = "10 seconds") -> DataFrame:
     """The last value of each run of events of a user that are less than ``gap`` apart. Works on streams and tables."""
-    timed = events.withWatermark(ts, delay) if delay and events.isStreaming else events
-    runs = timed.groupBy(F.col(user), F.session_window(ts, gap).alias("w")).agg(F.max(F.struct(ts, value)).alias("last"), F.count(F.lit(1)).alias("n"))
+    runs = watermarked(events, ts, delay).groupBy(F.col(user), F.session_window(ts, gap).alias("w")).agg(F.max(F.struct(ts, value)).alias("last"), F.count(F.lit(1)).alias("n"))
     return runs.select(user, F.col("last")[ts].alias("at"), F.col("last")[value].alias("value"), "n")
 
 
 def tumbling_counts(events: DataFrame, ts: str, key: str, width: str = "1 hour", delay: str = "10 minutes") -> DataFrame:
-    timed = events.withWatermark(ts, delay) if events.isStreaming else events
-    return timed.groupBy(F.window(ts, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
+    return watermarked(events, ts, delay).groupBy(F.window(ts, width).alias("w"), key).agg(F.count(F.lit(1)).alias("n")).select(F.col("w.start").alias("start"), key, "n")
 
 
 def upsert_sink(stream: DataFrame, path: str, key: tuple[str, ...], by: str, checkpoint: str) -> DataStreamWriter:

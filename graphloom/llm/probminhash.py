@@ -7,11 +7,11 @@ up to the time at which every register is taken (early termination): a text take
 shingle and about k log k further ones for k registers.
 
 Texts are grouped first by equality, so that copies stand for one text. Texts that agree on a band
-of registers meet in a bucket. In rounds, every text of a bucket is compared with one text of the
-bucket, chosen anew each round, as long as their classes differ; a last round compares all pairs of
-a bucket that are still in different classes. So a large group of copies costs a few comparisons a
-text, yet no pair that shares a bucket and is similar enough is lost. Similarity is the exact
-Jaccard similarity of the shingle sets. Classes are the connected components.
+of registers meet in a bucket, and texts that meet, also by way of others, form a candidate group. A
+group is split by hash into blocks of bounded size; each pair of blocks goes to one task, which
+computes all its Jaccard similarities exactly and passes on a spanning forest of the links it finds.
+So no pair that shares a bucket is left out, no pair becomes a row, and no task holds a whole group.
+Classes are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -28,10 +28,13 @@ from graphloom.llm._common import doc_text, materialize
 
 WORDS = 5
 SIMILARITY = 0.8
-BANDS = 25
-ROWS = 5
-#: Rounds of comparison with one text of the bucket before the last round compares all that remain.
-STAR_ROUNDS = 2
+#: At similarity 0.8 a pair shares no band with a probability of about 1 in 9,000.
+BANDS = 30
+ROWS = 6
+#: Texts of a block, on average.
+BLOCK = 512
+#: Columns of the incidence matrix that are multiplied at a time.
+COLUMNS = 4096
 #: Characters of text whose shingles are worked on at a time.
 SLICE_CHARS = 4_000_000
 
@@ -166,17 +169,69 @@ def keyed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles): the sorted distinct shingle hashes of each text."""
+    """(id, shingles): the distinct shingle hashes of each text, packed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                sets = [s.view(np.int64) for s, _ in text_shingles(batch.column(1).to_pylist(), width)]
-                offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
-                values = np.concatenate(sets) if sets else np.empty(0, np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, pa.int64()))], names=["id", "shingles"])
-
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("shingles", T.ArrayType(T.LongType()))]))
+            texts = batch.column(1).to_pylist()
+            for at, end in slices(texts):
+                sets = [s.tobytes() for s, _ in text_shingles(texts[at:end], width)]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sets, pa.binary())], names=["id", "shingles"])
+
+    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("shingles", T.BinaryType())]))
+
+
+def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Which pairs of sets have Jaccard similarity of ``similarity`` or more, as a square of booleans."""
+    n = len(sets)
+    size = np.array([len(s) for s in sets], np.float64)
+    owner = np.repeat(np.arange(n), size.astype(np.int64))
+    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[column] > 1
+    owner, column = owner[shared], column[shared]
+    both = np.zeros((n, n), np.float32)
+    if len(column):
+        order = np.argsort(column, kind="stable")
+        owner = owner[order]
+        column = np.unique(column[order], return_inverse=True)[1]
+        width = int(column[-1]) + 1
+        for at in range(0, width, COLUMNS):
+            a, b = np.searchsorted(column, (at, at + COLUMNS))
+            part = np.zeros((n, min(COLUMNS, width - at)), np.float32)
+            part[owner[a:b], column[a:b] - at] = 1
+            both += part @ part.T
+    return both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+
+
+def forest(links: np.ndarray) -> np.ndarray:
+    """For each row the first row of its component."""
+    n = len(links)
+    label = np.arange(n)
+    while True:
+        least = np.where(links, label[None, :], n).min(axis=1)
+        least = np.minimum(label, least)
+        if (least == label).all():
+            return label
+        label = least
+
+
+def linked(members: DataFrame, similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the links within each (comp, lo, hi) of members(id, shingles, comp, lo, hi)."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def run(group: pa.Table) -> pa.Table:
+        if group.num_rows < 2:
+            return schema.empty_table()
+        ids = np.array(group.column("id").to_pylist(), np.int64)
+        order = np.argsort(ids, kind="stable")
+        packed = group.column("shingles").to_pylist()
+        sets = [np.frombuffer(packed[i], np.uint64) for i in order.tolist()]
+        ids = ids[order]
+        label = forest(similar(sets, similarity))
+        joined = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.Table.from_arrays([pa.array(ids[label[joined]]), pa.array(ids[joined])], schema=schema)
+
+    return members.groupBy("comp", "lo", "hi").applyInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -212,18 +267,6 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return materialize(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, width: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) whose shingle sets have Jaccard similarity of ``similarity`` or more."""
-    pairs = materialize(pairs, "pairs")
-    needed = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(shingle_sets(texts.join(needed, "id", "left_semi"), width), "shingles")
-    joined = pairs.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), "a")
-    joined = joined.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")), "b")
-    both = F.size(F.array_intersect("sa", "sb"))
-    joined = joined.select("a", "b", both.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
-    return joined.filter(F.col("both") >= similarity * (F.col("sizes") - F.col("both"))).select("a", "b")
-
-
 def near_duplicates(
     docs: DataFrame,
     doc_id: str = "doc_id",
@@ -255,22 +298,18 @@ def near_duplicates(
         labels = components(extra, materialize(labels, "labels"))
     stands = seen.join(first, "copy").filter("id = rep").select("id", "keys").dropDuplicates(["id", "keys"])
     buckets = stands.select("id", F.explode("keys").alias("key"))
-    counts = buckets.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("key")
-    buckets = materialize(buckets.join(counts, "key"), "buckets")
-    texts = given  # an id with several texts keeps them all: a pair is similar if any two of theirs are
-    for turn in range(STAR_ROUNDS + 1):
-        labelled = buckets.join(labels, "id")
-        # buckets with more than one class, and one text of each class of theirs chosen by a hash of the round
-        pick = F.struct(F.xxhash64("id", F.lit(turn)), "id")
-        stars = labelled.groupBy("key").agg(F.min(F.struct(pick.alias("p"), "label")).alias("hub"), F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi")
-        if turn < STAR_ROUNDS:
-            pairs = labelled.join(stars.select("key", F.col("hub.p.id").alias("hub"), F.col("hub.label").alias("hub_label")), "key").filter("label != hub_label")
-            pairs = pairs.select(F.least("id", "hub").alias("a"), F.greatest("id", "hub").alias("b"))
-        else:
-            left = labelled.join(stars.select("key"), "key", "left_semi")
-            right = left.select("key", F.col("id").alias("other"), F.col("label").alias("other_label"))
-            pairs = left.join(right, "key").filter("id < other and label != other_label").select(F.col("id").alias("a"), F.col("other").alias("b"))
-        labels = components(verified(pairs.distinct(), texts, width, similarity), labels)
+    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub != top").select("key", "hub")
+    met = materialize(buckets.join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "met")
+    candidates = materialize(met.select(F.col("b").alias("id")).distinct(), "candidates")
+    groups = components(met.filter("a != b"), candidates.select("id", F.col("id").alias("label"))).withColumnRenamed("label", "comp")
+    sizes = groups.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    placed = groups.join(sizes, "comp").select("id", "comp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
+    # an id with several texts brings them all: it is similar to whatever one of them is similar to
+    sets = shingle_sets(given.join(candidates, "id", "left_semi"), width)
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+    members = placed.select("id", "comp", "own", other).join(sets, "id")
+    members = members.select("id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "shingles")
+    labels = components(linked(members, similarity).filter("a != b").distinct(), labels)
     whole = copies.join(labels.select(F.col("id").alias("rep"), "label"), "rep").select("id", "label")
     by_id = whole.groupBy("id").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
     repeated = by_id.select(F.col("id").alias("doc_id"), F.col("label").alias("class_id"), F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("i")).drop("i")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -37,6 +40,33 @@ def delete_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+#: Bytes of text that a function gets at a time.
+SLICE_BYTES = 4_000_000
+
+
+def trim_memory() -> None:
+    """Give freed memory back to the system: a worker waits for its next task with what it holds, beside the others'."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library; nothing is lost
+        pass
+
+
+def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch with at most ``limit`` bytes of text each, or one row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    at = 0
+    while at < len(sizes):
+        end, size = at, 0
+        while end < len(sizes) and (end == at or size + sizes[end] <= limit):
+            size += sizes[end]
+            end += 1
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def doc_text(column: str) -> F.Column:
     """A null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
@@ -48,11 +78,14 @@ def with_results(
     fn: Callable[[list[str]], list[pa.Array]],
     fields: list[T.StructField],
     carry: list[str] | None = None,
+    finish: Callable[[], None] | None = None,
 ) -> DataFrame:
     """Rows of ``df`` as struct ``row`` next to the result columns that ``fn`` makes of the texts of a batch.
 
     ``carry`` names the columns that ``row`` keeps, all by default; others don't travel back.
 
+    ``finish`` runs at the end of a partition.
+
     Keeping the input in one struct means that its column names can clash with nothing.
     """
     carry = df.columns if carry is None else carry
@@ -61,9 +94,12 @@ def with_results(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                columns = fn(batch.column(1).to_pylist())
-                yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["row", *(f.name for f in fields)])
+            for part in slices(batch, 1):
+                columns = fn(part.column(1).to_pylist())
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["row", *(f.name for f in fields)])
+        if finish is not None:
+            finish()
+        trim_memory()
 
     packed = df.select(row.alias("row"), doc_text(text).alias("text"))
     return packed.mapInArrow(run, schema)

@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import doc_text, materialize
+from graphloom.llm._common import doc_text, materialize, trim_memory
 
 ORDER = 2
 #: Text bytes of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 8_000_000
+CHUNK_BYTES = 4_000_000
 #: Steps of the doubling scale on which estimates are gathered for expectation-maximisation.
 STEPS = 4
 ROUNDS = 60
@@ -66,47 +66,61 @@ def expand(packed: bytes, kind: type, count: int) -> np.ndarray:
 
 
 class Chunk:
-    """Tokens of some documents and the keys of their n-grams."""
+    """Tokens of some documents and the keys of their n-grams.
+
+    ``levels`` has, for n-grams of each length, the places where they end and, for the distinct ones, their
+    keys and which of them stands at each place. A begin stands before the first word of each document; it
+    and the histories that end there are counted like n-grams of their length.
+    """
 
     def __init__(self, packed: bytes, order: int):
         self.ids, self.folds, texts = pickle.loads(zstandard.decompress(packed))  # what pack() wrote
         index: dict[bytes, int] = {BEGIN: 0, END: 1}
-        pad, streams, lengths = [0] * (order - 1), [], []
+        pad, streams, lengths = np.zeros(order - 1, np.int32), [], []
+        end = np.ones(1, np.int32)
         for text in texts:
             words = text.lower().split()
             for w in set(words).difference(index):
                 index[w] = len(index)
-            streams.append(np.fromiter(map(index.__getitem__, words), np.int64, len(words)))
+            streams += [pad, np.fromiter(map(index.__getitem__, words), np.int32, len(words)), end]
             lengths.append(len(words) + 1)
+        del texts
         self.lengths = np.array(lengths, np.int64)
-        flat = np.concatenate([x for s in streams for x in (pad, s, [1])]).astype(np.int64) if streams else np.empty(0, np.int64)
-        hashes = np.fromiter(map(word_key, index), np.uint64, len(index))[flat]
-        doc = np.repeat(np.arange(len(texts)), self.lengths + order - 1)
-        starts = np.cumsum(self.lengths + order - 1) - (self.lengths + order - 1)
-        offset = np.arange(len(flat)) - starts[doc]
+        flat = np.concatenate(streams) if streams else np.empty(0, np.int32)
+        del streams
+        word_keys = np.fromiter(map(word_key, index), np.uint64, len(index))
+        del index
+        long = self.lengths + order - 1
+        self.doc_of = np.repeat(np.arange(len(long), dtype=np.int32), long)
+        offset = np.arange(len(flat)) - (np.cumsum(long) - long)[self.doc_of]
+        self.size = len(flat)
         self.tokens = np.flatnonzero(offset >= order - 1)
-        self.doc = doc[self.tokens]
-        # hash of the n-gram of each length that ends at each place
-        ending = [hashes]
+        self.doc = self.doc_of[self.tokens]
+        counted = np.flatnonzero(offset >= order - 2) if order > 1 else self.tokens
+        self.levels = [(counted, word_keys, flat[counted])]
+        ending = hashes = word_keys[flat]
         for k in range(2, order + 1):
             earlier = np.concatenate((np.zeros(k - 1, np.uint64), hashes[: len(hashes) - k + 1]))
-            ending.append(mix(ending[-1] * GOLD + earlier) & ~ONE)
-        self.grams = [e[self.tokens] for e in ending]
-        self.histories = [e[self.tokens - 1] for e in ending[:-1]]  # [k - 2]: what comes before, for grams[k - 1]
-        # the history before the first word occurs once per document; it is counted like an n-gram of its length
-        first = np.flatnonzero(offset == order - 1) - 1 if order > 1 else np.empty(0, np.int64)
-        self.begins = [e[first] for e in ending[:-1]]
-        self.begin_doc = doc[first]
+            ending = mix(ending * GOLD + earlier) & ~ONE
+            places = counted if k < order else self.tokens
+            distinct, which = np.unique(ending[places], return_inverse=True)
+            self.levels.append((places, distinct, which.astype(np.int32)))
 
     def keys(self) -> np.ndarray:
         """All distinct keys in order. Histories are n-grams themselves or begins."""
-        return np.unique(np.concatenate([np.unique(x) for x in [*self.grams, *self.begins]]))
+        return np.sort(np.concatenate([self._met(k) for k in range(len(self.levels))]))
+
+    def _met(self, level: int) -> np.ndarray:
+        """The keys of a level that stand somewhere: the begin and the end are known without that."""
+        places, keys, which = self.levels[level]
+        return keys if level else keys[np.bincount(which, minlength=len(keys)) > 0]
 
     def counts(self, keys: np.ndarray, of_doc: np.ndarray) -> np.ndarray:
         total = np.zeros(len(keys), np.int64)
-        for values, doc in [*((g, self.doc) for g in self.grams), *((b, self.begin_doc) for b in self.begins)]:
-            found, number = np.unique(values[of_doc[doc]], return_counts=True)
-            total[np.searchsorted(keys, found)] += number
+        for places, own, which in self.levels:
+            number = np.bincount(which[of_doc[self.doc_of[places]]], minlength=len(own))
+            held = np.flatnonzero(number)
+            total[np.searchsorted(keys, own[held])] += number[held]
         return total
 
 
@@ -148,6 +162,7 @@ def chunked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         for deleted in (True, False):
             if held[deleted][0]:
                 yield close(deleted)
+        trim_memory()
 
     key = F.col(f"`{doc_id}`")
     fold = F.coalesce(F.crc32(key.cast("string").cast("binary")) % 5, F.lit(0)).cast("int")
@@ -159,7 +174,8 @@ def sent(chunks: DataFrame, order: int, parts: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, deleted, packed in zip(*(c.to_pylist() for c in batch.columns)):
+            for row in range(batch.num_rows):
+                number, deleted, packed = (c[row].as_py() for c in batch.columns)
                 chunk = Chunk(packed, order)
                 keys = chunk.keys()
                 folds = np.array(chunk.folds)
@@ -172,8 +188,10 @@ def sent(chunks: DataFrame, order: int, parts: int) -> DataFrame:
                         gaps = np.diff(keys[a:b], prepend=np.uint64(0))
                         own = squeeze(counts[a:b])
                         rows.append({"chunk": number, "part": p, "n": b - a, "keys": squeeze(gaps), "kept": None if deleted else own, "cut": own if deleted else None, "deleted": deleted})
+                del chunk, keys, part
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, SENT)
+        trim_memory()
 
     return chunks.mapInArrow(run, SENT_SQL)
 
@@ -202,6 +220,8 @@ def answered(sent_: DataFrame) -> DataFrame:
             for name, c in (("kept", kept), ("whole", whole)):
                 row |= {f"{name}_tokens": int(c[words].sum()) if not k else 0, f"{name}_types": int((c[words] > 0).sum()) if not k else 0}
             out.append(row)
+        del keys, distinct, place
+        trim_memory()
         return pa.Table.from_pylist(out, ANSWER)
 
     return sent_.groupBy("part").applyInArrow(run, ANSWER_SQL)
@@ -222,9 +242,16 @@ class Counted:
         counts = np.concatenate([expand(r[column], np.int64, r["n"]) for r in answers]) if answers else np.empty(0, np.int64)
         if len(counts) != len(keys):
             raise ValueError(f"{len(counts)} answers for {len(keys)} keys")
-        look = lambda values: counts[np.searchsorted(keys, values)]
-        self.grams = [look(g) for g in self.chunk.grams]
-        self.histories = [look(h) for h in self.chunk.histories]
+        self.grams, self.histories = [], []
+        before: np.ndarray | None = None
+        for places, own, which in self.chunk.levels:
+            found = counts[np.minimum(np.searchsorted(keys, own), len(keys) - 1)][which] if len(keys) else np.empty(0, np.int64)
+            flat = np.zeros(self.chunk.size, np.int64)
+            flat[places] = found
+            self.grams.append(flat[self.chunk.tokens])
+            if before is not None:
+                self.histories.append(before[self.chunk.tokens - 1])
+            before = flat
 
     def estimates(self, tokens: int, types: int) -> np.ndarray:
         """f_0 to f_order of each token."""
@@ -319,6 +346,7 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
         c = counted.grams[0]
         base = np.log10((c + 0.5) / (whole_tokens + 0.5 * (types + 1)))
         size = len(chunk.ids)
+        trim_memory()
         per = lambda x: np.bincount(chunk.doc, x, minlength=size)
         return pa.Table.from_arrays(
             [

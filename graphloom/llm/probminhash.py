@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import doc_text, materialize
+from graphloom.llm._common import doc_text, materialize, trim_memory
 
 WORDS = 5
 SIMILARITY = 0.8
@@ -163,6 +163,7 @@ def keyed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
             if batch.num_rows:
                 keys = band_keys(batch.column(2).to_pylist(), width, bands, rows)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "keys"])
+        trim_memory()
 
     schema = T.StructType([docs.schema["id"], T.StructField("copy", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
     return docs.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"), "text").mapInArrow(run, schema)

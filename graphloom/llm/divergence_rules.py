@@ -42,7 +42,7 @@ SYMBOLS = str.maketrans("", "", "#*$%&|<>")
 ASCII_CLASS = np.array([0 if 97 <= c <= 122 else 1 if 65 <= c <= 90 else 3 if 48 <= c <= 57 else 4 if c == 32 or 9 <= c <= 13 else 5 if chr(c) in ".,;:!?'\"()-" else 6 if 33 <= c <= 126 else 7 for c in range(128)], np.uint8)
 LETTER = re.compile(r"[^\W\d_]")
 FIELDS = [
-    *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")),
+    *(T.StructField(n, T.LongType()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_chars")),
     T.StructField("class_counts", T.ArrayType(T.LongType())),
     T.StructField("word_counts", T.ArrayType(T.LongType())),
 ]
@@ -126,16 +126,15 @@ def features(docs: DataFrame, text: str, common: dict[str, list[str]], carry: li
             words = words_of(raw)
             symbols = len(t) - len(t.translate(SYMBOLS)) if t.isascii() else sum(map(t.count, "#*$%&|<>"))
             blanks = sum(map(t.count, " \t\n\x0b\x0c\r"))
-            rows.append((len(words), len(t) - blanks, symbols, duplicate_lines(t), repeated(words), class_histogram(t), word_histogram(raw.lower().split(), index)))
+            rows.append((len(words), len(t) - blanks, symbols, duplicate_lines(t), repeated(words), len(t), class_histogram(t), word_histogram(raw.lower().split(), index)))
         columns = list(zip(*rows))
-        return [pa.array(c, pa.int64() if k < 5 else pa.list_(pa.int64())) for k, c in enumerate(columns)]
+        return [pa.array(c, pa.int64() if k < 6 else pa.list_(pa.int64())) for k, c in enumerate(columns)]
 
     return with_results(docs, text, run, FIELDS, carry)
 
 
-def shares(counts: str) -> F.Column:
-    total = F.aggregate(F.col(counts), F.lit(0).cast("long"), lambda a, x: a + x)
-    return F.transform(F.col(counts), lambda x: x / F.greatest(total, F.lit(1)))
+def shares(counts: str, total: F.Column) -> F.Column:
+    return F.transform(F.col(counts), lambda x: x / total)
 
 
 def distance(p: F.Column, q: F.Column) -> F.Column:
@@ -148,12 +147,15 @@ def distance(p: F.Column, q: F.Column) -> F.Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def reference(judged: DataFrame, key: str, value: str, size: int, name: str) -> DataFrame:
-    """Median of each place over the documents of a key, scaled to sum 1. One row per language: bounded by the languages."""
-    medians = F.array(*[F.percentile_approx(F.col(value)[i], 0.5, 1000) for i in range(size)])
+def reference(judged: DataFrame, key: str, counts: str, total: F.Column, size: int, name: str) -> DataFrame:
+    """Median share of each place over the documents of a key, scaled to sum 1. One row per language: bounded by the languages.
+
+    Each share is taken from its count alone: an array of shares would be built anew for every place.
+    """
+    medians = F.array(*[F.percentile_approx(F.col(counts)[i] / total, 0.5, 1000) for i in range(size)])
     table = judged.groupBy(key).agg(medians.alias("m"))
-    total = F.aggregate(F.col("m"), F.lit(0.0), lambda a, x: a + x)
-    return table.select(F.col(key).alias("ref_key"), F.when(total > 0, F.transform("m", lambda x: x / total)).alias(name))
+    whole = F.aggregate(F.col("m"), F.lit(0.0), lambda a, x: a + x)
+    return table.select(F.col(key).alias("ref_key"), F.when(whole > 0, F.transform("m", lambda x: x / whole)).alias(name))
 
 
 def judge(
@@ -187,25 +189,25 @@ def judge(
     seen = seen.withColumn("key", language)
     seen = materialize(seen, "features")
     failed = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    chars = F.aggregate("class_counts", F.lit(0).cast("long"), lambda a, x: a + x)
-    seen = seen.withColumns(
-        {
-            "base_failed": failed,
-            "class_share": F.when(chars >= min_chars, shares("class_counts")),
-            "word_share": F.when(F.col("n_words") >= min_words, shares("word_counts")),
-        }
-    )
+    seen = seen.withColumn("base_failed", failed)
+    chars, words = F.col("n_chars"), F.col("n_words")
+    long_enough = {"class": chars >= max(min_chars, 1), "word": words >= max(min_words, 1)}
     good = seen.filter(~F.col("base_failed"))
-    by_class = reference(good.filter("class_share is not null"), "key", "class_share", len(CLASSES), "class_ref")
-    by_word = reference(good.filter("word_share is not null"), "key", "word_share", size, "word_ref")
+    by_class = reference(good.filter(long_enough["class"]), "key", "class_counts", chars, len(CLASSES), "class_ref")
+    by_word = reference(good.filter(long_enough["word"]), "key", "word_counts", words, size, "word_ref")
     refs = by_class.join(by_word, "ref_key", "full")
     # a row per language; languages are not bounded by contract, so Catalyst picks the join by size
     out = seen.join(refs, F.col("key") == F.col("ref_key"), "left")
-    out = out.withColumns({"class_distance": distance(F.col("class_share"), F.col("class_ref")), "word_distance": distance(F.col("word_share"), F.col("word_ref"))})
+    out = out.withColumns(
+        {
+            "class_distance": F.when(long_enough["class"], distance(shares("class_counts", chars), F.col("class_ref"))),
+            "word_distance": F.when(long_enough["word"], distance(shares("word_counts", words), F.col("word_ref"))),
+        }
+    )
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     both = (by_class > both_class) & (by_word > both_words + word_slack / F.sqrt(F.greatest("n_words", F.lit(1))))
     passed = (by_class <= max_class) & (by_word <= max_words) & ~both
-    return out.withColumn("kept", ~F.col("base_failed") & passed).drop("key", "ref_key", "class_share", "word_share", "class_ref", "word_ref", "class_counts", "word_counts")
+    return out.withColumn("kept", ~F.col("base_failed") & passed).drop("key", "ref_key", "n_chars", "class_ref", "word_ref", "class_counts", "word_counts")
 
 
 def query(docs: DataFrame) -> DataFrame:

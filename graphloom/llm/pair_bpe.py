@@ -31,9 +31,9 @@ PRETOKEN = regex.compile(
 PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
 NOT_PLAIN = re.compile("[^\n\x20-\x7e\u00c0-\u024f]")
 #: Characters of text split at a time, to bound the memory of the pieces.
-SLICE_CHARS = 16_000_000
-#: Distinct pretokens that a worker remembers; beyond it the memory starts anew (results don't depend on it).
-CACHE_WORDS = 600_000
+SLICE_CHARS = 5_000_000
+#: Distinct pretokens that a task remembers; beyond it the memory starts anew (results don't depend on it).
+CACHE_WORDS = 200_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -154,6 +154,9 @@ class PairIndexBPE:
             at = match.end()
         return out + self.split(text[at:])
 
+    def forget(self) -> None:
+        self.words = {}
+
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes] = []
         at = 0
@@ -198,7 +201,7 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, text: str = "text", carry:
         packed = bpe.encode_batch(texts)
         return [pa.array(packed, pa.binary()), pa.array([bpe.decode(p) for p in packed], pa.string())]
 
-    return with_results(docs, text, run, FIELDS, carry)
+    return with_results(docs, text, run, FIELDS, carry, lambda: model(tokenizer_path).forget())
 
 
 def query(docs: DataFrame, tokenizer_path: str) -> DataFrame:

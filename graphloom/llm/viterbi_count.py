@@ -27,7 +27,7 @@ from graphloom.llm._common import with_results
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
 #: Distinct words that a worker remembers; beyond it the memory starts anew (results don't depend on it).
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Characters of text split at a time.
 SLICE_CHARS = 5_000_000
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())]
@@ -128,7 +128,7 @@ def count_rows(docs: DataFrame, model_path: str, text: str = "text", carry: list
         found = model(model_path).texts(texts)
         return [pa.array([int(c.imag) for c in found], pa.int64()), pa.array([c.real for c in found], pa.float64())]
 
-    return with_results(docs, text, run, FIELDS, carry)
+    return with_results(docs, text, run, FIELDS, carry, lambda: model(model_path).words.clear())
 
 
 def query(docs: DataFrame, model_path: str) -> DataFrame:

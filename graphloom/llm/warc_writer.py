@@ -34,6 +34,8 @@ ROLL_BYTES = 16_000_000
 #: Equal payloads under this size are stored again rather than revisited.
 MIN_REVISIT_BYTES = 0
 LEVEL = 4
+#: Compressed bytes read at a time.
+STEP = 16_384
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
@@ -202,11 +204,17 @@ def write(
 
 def parse(archive: bytes) -> Iterator[dict]:
     """Records of a file of gzip members, digests checked."""
-    at = 0
-    while at < len(archive):
-        unpacker = zlib.decompressobj(31)
-        whole = unpacker.decompress(memoryview(archive)[at:])
-        at = len(archive) - len(unpacker.unused_data)
+    at, view = 0, memoryview(archive)
+    while at < len(view):
+        unpacker, parts = zlib.decompressobj(31), []
+        while not unpacker.eof:  # in steps, since what is left over is copied
+            step = view[at : at + STEP]
+            if not step:
+                raise ValueError("the last record is cut off")
+            parts.append(unpacker.decompress(step))
+            at += len(step)
+        at -= len(unpacker.unused_data)
+        whole = b"".join(parts)
         head, _, rest = whole.partition(b"\r\n\r\n")
         version, *lines = head.decode("utf-8", "surrogatepass").split("\r\n")
         if not version.startswith("WARC/"):

@@ -2,7 +2,8 @@
 
 ProbMinHash: each shingle of a text is a Poisson process whose rate is its weight. Its arrivals
 fall on random registers; a register keeps the shingle of its first arrival. The share of equal
-registers estimates the probability Jaccard similarity. Arrivals are made in order of time and only
+registers estimates the probability Jaccard similarity; here all shingles of a text weigh the same, so
+that it is the Jaccard similarity of the sets, by which links are tested. Arrivals are made in order of time and only
 up to the time at which every register is taken (early termination): a text takes one arrival per
 shingle and about k log k further ones for k registers.
 
@@ -69,10 +70,10 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def text_shingles(texts: list[str], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """Distinct shingles and their frequencies for each text."""
+def text_shingles(texts: list[str], width: int) -> list[np.ndarray]:
+    """Distinct shingles of each text."""
     known: dict[bytes, int] = {}
-    return [np.unique(shingle_hashes(word_hashes(t.encode("utf-8", "surrogatepass").split(), known), width), return_counts=True) for t in texts]
+    return [np.unique(shingle_hashes(word_hashes(t.encode("utf-8", "surrogatepass").split(), known), width)) for t in texts]
 
 
 def signatures(weighted: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
@@ -145,7 +146,8 @@ def band_keys(texts: list[str], width: int, bands: int, rows: int) -> list[list[
     out: list[list[int]] = []
     for at, end in slices(texts):
         own = list(dict.fromkeys(texts[at:end]))
-        signed = signatures(text_shingles(own, width), bands * rows).reshape(len(own), bands, rows)
+        # equal weights: a register agrees with the probability of the Jaccard similarity that links are tested by
+        signed = signatures([(s, np.ones(len(s))) for s in text_shingles(own, width)], bands * rows).reshape(len(own), bands, rows)
         keys = np.zeros((len(own), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
         for j in range(rows):
             keys = mix(keys * GOLD + signed[:, :, j])
@@ -176,7 +178,7 @@ def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, end in slices(texts):
-                sets = [s.tobytes() for s, _ in text_shingles(texts[at:end], width)]
+                sets = [s.tobytes() for s in text_shingles(texts[at:end], width)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sets, pa.binary())], names=["id", "shingles"])
 
     return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("shingles", T.BinaryType())]))

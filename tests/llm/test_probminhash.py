@@ -56,6 +56,17 @@ def test_classes_as_by_brute_force(spark):
     assert run(spark, rows) == sorted(brute(rows), key=str)
 
 
+def test_repeats_do_not_hide_a_link(spark):
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    rows = []
+    for k, times in enumerate((20, 24, 24, 60, 100, 100, 400)):
+        body, line = " ".join(word() for _ in range(300)), " " + " ".join(word() for _ in range(12))
+        rows += [(2 * k, body + line), (2 * k + 1, body + line * times)]
+    assert brute(rows) == [(i, i - i % 2) for i in range(14)]
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+
+
 def test_edges(spark):
     same = "one two three four five six seven eight nine ten"
     rows = [(5, same), (3, same), (5, same), (7, None), (8, ""), (9, "  \n"), (11, "a b"), (12, "a  b"), (None, same), (None, None), (20, "q w e r t z u"), (20, same), (21, "q w e r t z u"), (30, "x " * 100_000)]

@@ -31,7 +31,7 @@ PATTERNS = {
     "ip": r"(?:\G|(?<![0-9]))[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[ -]?[0-9])++",
     "phone": r"\+[0-9][ ().0-9-]+[0-9]",
-    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_.-]{6,128}",
+    "secret": r"(?i)(?<![a-z0-9])(?:password|passwd|pwd|secret|token|api[_-]?key|access[_-]?key)[ ]?[=:][ ]?\"?[A-Za-z0-9+/_.-]{6,}+",
     "tel": r"(?<![0-9+().-])(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4}(?![0-9-])",
     "natid": r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])",
     "account": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
@@ -68,7 +68,7 @@ SHAPE = {
     "ip": r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
     "card": r"^[3-6]",
     "phone": r"^\+[1-9]",
-    "secret": r"(?=[A-Za-z0-9+/_.-]*[0-9])(?=[A-Za-z0-9+/_.-]*[A-Za-z])[A-Za-z0-9+/_.-]{12,}$",
+    "secret": r"^(?=[^0-9]*+[0-9])(?=[^A-Za-z]*+[A-Za-z])[A-Za-z0-9+/_.-]{12,}+$",
     "tel": r"^\(?[2-9]",
     "natid": r"^(?!9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)",
     "account": r"^(?=(?:[^0-9]*[0-9]){10})",

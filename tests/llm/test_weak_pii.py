@@ -76,6 +76,20 @@ def test_added_spans_and_redaction(spark):
     assert "Python" not in plan and "Arrow" not in plan
 
 
+def test_long_secrets_are_redacted_whole(spark):
+    token = "eyJhbGciOiJIUzI1NiJ9." + "aZ09_-+/" * 34 + ".b7db7aa4"
+    sizes = [(token[:n], n) for n in (127, 128, 129, 300)] + [("b7" * 500_000, 1_000_000)]
+    rows = [(i, f"The password=b7db7aa4a5fcc7830{i % 10} is here.", "", "", "", 1) for i in range(30)]
+    rows += [(100 + i, f"set token: {value} here", "", "", "", 1) for i, (value, _) in enumerate(sizes)]
+    rows += [(200, f"set token: {'a' * 1_000_000} here", "", "", "", 1)]  # no digit: the shape must not be tried from every place
+    found = weak_pii.detect(spark.createDataFrame(rows, SCHEMA))
+    out = {r.row.doc_id: r for r in found.withColumn("text", weak_pii.redacted(F.col("row.text"), F.col("spans"))).collect()}
+    for i, (_, size) in enumerate(sizes):
+        assert out[100 + i].text == "set [SECRET] here"
+        assert [(s.start, s.end) for s in out[100 + i].spans] == [(4, 11 + size)]
+    assert all((s.start, s.end) == (4, 11 + 1_000_000) for s in out[200].spans)
+
+
 def test_label_model_finds_the_reliable_labeler():
     rng = random.Random(2)
     counts = {}

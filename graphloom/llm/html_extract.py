@@ -4,8 +4,10 @@ A page is read into blocks: runs of text between block-level tags. Each block ha
 its block-level elements from the root. Per path, text length and punctuation are summed over all
 blocks of the path and divided by their number (the path ratios). The ratios are smoothed over
 neighbouring blocks, fused into one score per path and compared with a threshold drawn from the
-page's own scores. The smallest element that holds the paths above it is the article; its blocks
-are the text, short paragraphs and headings included.
+page's own scores. The smallest element that holds most of the weight of the paths above it is the
+article; its blocks are the text, short paragraphs and headings included. Where no <article> or <main>
+says where the article ends, the elements beside it that hold further blocks above the threshold
+belong to the text as well.
 
 Elements that are boilerplate by their own name (menus, footers, forms, scripts) or by a word in
 their class, id or role (adverts, sidebars, notices, comments) take no part.
@@ -212,9 +214,15 @@ def article(page: Page) -> list[str]:
     else:
         while len(path) > 1 and page.names[path[-1]] in LEAVES:  # one paragraph outweighs the others: with what stands beside it
             path = path[:-1]
-    above, own = set(path[:-1]), path[-1]
-    heads = lambda p: page.names[p[-1]] in HEADINGS and p[-2] in above and p[-1] < own
-    return [t for t, p in zip(page.texts, page.paths) if own in p or len(p) > 1 and heads(p)]
+    line, above, own = set(path), set(path[:-1]), path[-1]
+    # the element that leads off the path to the article; none for text that stands in an element of the path
+    branch = lambda p: next((e for e in p if e not in line), None)
+    beside = set() if top else {branch(p) for p, c in zip(page.paths, chosen.tolist()) if c and own not in p}
+    end = max(beside - {None} | {own})
+    heads = lambda p: page.names[p[-1]] in HEADINGS and p[-2] in above and p[-1] < end
+    loose = lambda p, c: not top and c and p[-1] in above
+    kept = lambda p, c: own in p or loose(p, c) or (b := branch(p)) is not None and b in beside or len(p) > 1 and heads(p)
+    return [t for t, p, c in zip(page.texts, page.paths, chosen.tolist()) if kept(p, c)]
 
 
 def extract(page: str) -> str:

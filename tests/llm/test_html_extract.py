@@ -1,3 +1,5 @@
+import re
+
 import pytest
 
 from graphloom.llm import html_extract
@@ -29,6 +31,25 @@ def test_article_only(body, expected):
     assert html_extract.extract(page(body)) == expected
 
 
+LINES = [f"Line {i}, of some length. " + "w " * 140 + "end." for i in range(12)]
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        (f"<div class='intro'><p>{LINES[10]}</p></div>", ""),
+        ("", f"<div class='more'><h2>More</h2><p>{LINES[10]}</p></div>"),
+        (f"<div class='left'><p>{LINES[10]}</p><p>Short.</p></div>", f"<section><p>{LINES[11]}</p></section>"),
+        (LINES[10], ""),
+    ],
+)
+def test_nothing_beside_the_weightiest_element_is_lost(before, after):
+    text = "".join(f"<p>{x}</p>" for x in LINES[:10])
+    body = f"<div>{before}<div class='text'>{text}</div>{after}</div>"
+    plain = re.sub("<[^>]*>", "\n", before + text + after).split("\n")
+    assert html_extract.extract(page(f"{body}<footer>{NOISE}</footer>")).split("\n") == [x for x in plain if x]
+
+
 def test_long_page_stays_whole():
     body = "<article>" + "".join(f"<p>Line {i}, of many. " + "w " * 40 + "</p>" for i in range(5000)) + "</article>"
     assert len(html_extract.extract(page(body)).split("\n")) == 5000

@@ -18,6 +18,8 @@ from graphloom.functions import text as tx
 #: Gives rows (label, term, evidence, ...) a column ``score`` in 0..1.
 Scorer = Callable[[DataFrame], DataFrame]
 BASES = {"Symptom": 0.86, "Drug": 0.86, "Examination": 0.86, "Treatment": 0.84, "Heading": 0.90, "Disease": 0.82}
+#: Route and confidence of the symptoms that an infobox lists.
+INFOBOX, INFOBOX_SYMPTOM = -1, 0.92
 LIMITS = {"Symptom": 14, "Drug": 24, "Examination": 24, "Treatment": 18, "Disease": 14}
 # Patterns and cues.
 CJK = "\\u4e00-\\u9fff"
@@ -152,9 +154,23 @@ def candidates(lines: DataFrame) -> DataFrame:
 def vocabulary(documents: DataFrame, known: list[str] = lx.RECALL_DISEASES) -> DataFrame:
     """Distinct disease names: the known ones, titles, keywords, and headings that look like a disease."""
     base = documents.sparkSession.createDataFrame([(t,) for t in known], "term string")
-    headings = documents.select(F.explode("sections.heading").alias("term")).filter(ends_with_any(F.col("term"), lx.RECALL_DISEASE_ENDINGS))
-    named = documents.select(F.explode(F.array("title", "keyword")).alias("term"))
-    return base.union(named.union(headings).select(tx.term_name(F.col("term")))).filter(tx.is_candidate(F.col("term"))).distinct()
+    headings = documents.select(F.explode("sections.heading").alias("term")).select(tx.term_name(F.col("term")).alias("term"))
+    headings = headings.filter(has_any(F.col("term"), lx.RECALL_DISEASE_ENDINGS) & tx.is_candidate(F.col("term"), 14))
+    named = documents.select(F.explode(F.array("title", "keyword")).alias("term")).select(tx.term_name(F.col("term")))
+    return base.union(named.union(headings)).filter(tx.is_candidate(F.col("term"))).distinct()
+
+
+def infobox(documents: DataFrame) -> DataFrame:
+    """(doc_id, sec_pos, heading, value) of the entries of basic_info; sec_pos counts down from -1, apart from the sections."""
+    entries = documents.select("doc_id", F.posexplode("basic_info").alias("pos", "key", "value"))
+    return entries.select("doc_id", (-1 - F.col("pos")).alias("sec_pos"), tx.term_name(F.col("key")).alias("heading"), tx.clean_text(F.col("value")).alias("value")).filter("value != ''")
+
+
+def infobox_symptoms(box: DataFrame) -> DataFrame:
+    """Routed candidates of the entries on symptoms: the items of their lists."""
+    items = box.filter(F.contains("heading", F.lit("症状"))).select("*", F.posexplode(tx.split_terms(F.col("value"), 14)).alias("cand_pos", "term"))
+    fixed = [F.lit(INFOBOX).alias("route"), F.lit("HAS_SYMPTOM").alias("relation"), F.lit(1.0).alias("cap"), F.lit(False).alias("reverse")]
+    return items.filter(symptom_like(F.col("term"))).select("doc_id", "sec_pos", "heading", F.lit(0).alias("sent_pos"), F.col("value").alias("sentence"), F.lit("Symptom").alias("label"), "cand_pos", "term", *fixed)
 
 
 def first_occurrences(found: DataFrame, key: list[str]) -> DataFrame:
@@ -183,7 +199,7 @@ def embedding_scorer(embed: Callable[[Column], Column], anchors: dict[str, list[
 
 
 def extract(documents: DataFrame, scorer: Scorer | None = None, routes: tuple[Route, ...] = ROUTES, ends: str = tx.SENTENCE_END) -> tuple[DataFrame, DataFrame]:
-    """(nodes, edges) before merging. documents(doc_id, title, keyword, summary, sections)."""
+    """(nodes, edges) before merging. documents(doc_id, title, keyword, summary, sections), and basic_info where there is one."""
     score = scorer or constant_scorer()
     found = candidates(sentences(documents, ends))
     vocab = vocabulary(documents)
@@ -198,7 +214,16 @@ def extract(documents: DataFrame, scorer: Scorer | None = None, routes: tuple[Ro
     )
     routed = found.withColumn("way", F.explode(F.array_compact(ways))).select(*found.columns, "way.*")
     heading = tx.term_name(F.col("heading"))
-    headed = sentences(documents, ends).select("doc_id", "sec_pos", "heading").distinct().withColumn("term", heading)
+    headed = sentences(documents, ends).select("doc_id", "sec_pos", "heading").distinct()
+    if "basic_info" in documents.columns:
+        box = infobox(documents)
+        cures = box.filter(F.contains("heading", F.lit("治疗")) & ~F.contains("heading", F.lit("症状")))
+        lines = cures.select("doc_id", "sec_pos", "heading", F.posexplode(tx.sentences(F.col("value"), ends)).alias("sent_pos", "sentence"))
+        fixed = [F.lit(3).alias("route"), F.lit("TREATED_BY").alias("relation"), F.lit(1.0).alias("cap"), F.lit(False).alias("reverse")]
+        named = candidates(lines).filter("label = 'Treatment'").select(*found.columns, *fixed)
+        routed = routed.unionByName(infobox_symptoms(box)).unionByName(named)
+        headed = headed.unionByName(cures.select("doc_id", "sec_pos", "heading"))
+    headed = headed.withColumn("term", heading)
     headed = headed.filter(F.contains("term", F.lit("治疗")) & tx.is_candidate(F.col("term"), 18) & balanced(F.col("term")))
     treated = headed.select("doc_id", "sec_pos", "heading", F.lit(-1).alias("sent_pos"), F.col("term").alias("sentence"), F.lit("Treatment").alias("label"), F.lit(-1).alias("cand_pos"), "term", F.lit(3).alias("route"), F.lit("TREATED_BY").alias("relation"), F.lit(1.0).alias("cap"), F.lit(False).alias("reverse"))
     treated = treated.filter(has_any(F.col("heading"), lx.RECALL_TREATMENT_HEADINGS))
@@ -208,7 +233,7 @@ def extract(documents: DataFrame, scorer: Scorer | None = None, routes: tuple[Ro
     for label, b in BASES.items():
         base = F.when(F.col("label") == label, b).otherwise(base)
     base = F.when((F.col("label") == "Treatment") & (F.col("sentence") == F.col("term")) & has_any(F.col("heading"), lx.RECALL_TREATMENT_HEADINGS) & (F.col("term") == tx.term_name(F.col("heading"))), BASES["Heading"]).otherwise(base)
-    rated = score(evidence).withColumn("confidence", F.least(tx.confidence(base, F.col("score")), F.col("cap")))
+    rated = score(evidence).withColumn("confidence", F.when(F.col("route") == INFOBOX, INFOBOX_SYMPTOM).otherwise(F.least(tx.confidence(base, F.col("score")), F.col("cap"))))
     names = documents.select("doc_id", tx.term_name(F.coalesce(F.nullif("title", F.lit("")), "keyword")).alias("disease"), F.coalesce("summary", F.lit("")).alias("summary"))
     facts = rated.join(names.filter("disease != ''"), "doc_id").filter(F.col("term") != F.col("disease"))
     own, other = tx.stable_id(F.lit("Disease"), F.col("disease")), tx.stable_id(F.col("label"), F.col("term"))

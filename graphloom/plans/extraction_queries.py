@@ -120,6 +120,7 @@ def medical_documents(spark, d):
             section("检查", F.lit("需做"), exam, F.lit("；以及"), cure, F.lit("。")),
             section("并发症", F.lit("可并发"), pick(lx.RECALL_DISEASES, 17), F.lit("。")),
         ).alias("sections"),
+        F.create_map(F.lit("常见症状"), F.concat(pick(lx.RECALL_SYMPTOMS, 19), F.lit("、"), pick(lx.RECALL_SYMPTOMS, 23)), F.lit("治疗方法"), F.concat(pick(lx.RECALL_TREATMENTS, 29), F.lit("，化疗"))).alias("basic_info"),
     )
 
 

@@ -29,9 +29,9 @@ from graphloom.llm._common import doc_text, materialize, trim_memory
 
 WORDS = 5
 SIMILARITY = 0.8
-#: At similarity 0.8 a pair shares no band with a probability of about 1 in 9,000.
-BANDS = 30
-ROWS = 6
+#: At similarity 0.8 a pair shares no band with a probability of about 1 in 20,000.
+BANDS = 25
+ROWS = 5
 #: Texts of a block, on average.
 BLOCK = 512
 #: Columns of the incidence matrix that are multiplied at a time.

@@ -277,15 +277,66 @@ def query(docs: DataFrame) -> DataFrame:
     return found.select(F.col("row.doc_id").alias("doc_id"), *counts, F.sha2(listed(base).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
 
 
+def let(value: F.Column, body) -> F.Column:
+    """``body`` of ``value``, which is worked out once however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def disjoint(spans: F.Column) -> F.Column:
+    """Spans by place as (start, end, kind), none before the end of an earlier one: of an overlap the later keeps the rest.
+
+    What is left of a span may be empty; such spans go. Gathered in blocks, as in ``spans_of``.
+    """
+    part = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("start", "end", "kind")]))
+
+    def step(state: F.Column, s: F.Column) -> F.Column:
+        own = F.struct(F.greatest(state["at"], s["start"]).alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["end"] > state["at"], F.concat(state["spans"], F.array(own))).otherwise(state["spans"]).alias("spans"))
+
+    def gathered(placed: F.Column) -> F.Column:
+        def block(state: F.Column, first: F.Column) -> F.Column:
+            own = F.aggregate(F.slice(placed, first, F.lit(BLOCK)), F.struct(state["at"].alias("at"), F.array().cast(part).alias("spans")), step)
+            return let(own, lambda o: F.struct(o["at"].alias("at"), F.concat(state["blocks"], F.array(o["spans"])).alias("blocks")))
+
+        begin = F.struct(F.lit(0).alias("at"), F.array().cast(T.ArrayType(part)).alias("blocks"))
+        return F.flatten(F.aggregate(F.sequence(F.lit(1), F.size(placed), F.lit(BLOCK)), begin, block)["blocks"])
+
+    return let(F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind")))), gathered)
+
+
+def count_until(spans: F.Column, holds) -> F.Column:
+    """How many of the first spans hold: those that do come first, so the steps halve."""
+    steps = F.array(*[F.lit(1 << k) for k in range(30, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(n + k <= F.size(spans), F.when(holds(F.try_element_at(spans, n + k)), n + k).otherwise(n)).otherwise(n))
+
+
+#: Code points of text that are cut at a time; a place is found by counting from the start of its part.
+PART = 4096
+
+
 def redacted(text: F.Column, spans: F.Column) -> F.Column:
-    """``text`` with each span replaced by its kind in brackets; of overlapping spans the later one covers only the rest."""
+    """``text`` with each span replaced by its kind in brackets; of overlapping spans the later one covers only the rest.
+
+    The text is taken in parts, each with the spans that reach into it, and joined once: time grows in
+    proportion to the text and its spans. A null text, and one without spans, stays as it is.
+    """
     names = F.array(*[F.lit(f"[{k.upper()}]") for k in KINDS])
-    by_place = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(state: F.Column, s: F.Column) -> F.Column:
-        gap = F.substr(text, state["at"] + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
-        name = F.when(s["end"] > state["at"], F.element_at(names, s["kind"] + 1)).otherwise(F.lit(""))
-        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.concat(state["out"], gap, name).alias("out"))
+    def whole(spans: F.Column) -> F.Column:
+        def part(piece: F.Column, i: F.Column) -> F.Column:
+            begin = i * PART
+            first = count_until(spans, lambda s: s["end"] <= begin)
+            last = count_until(spans, lambda s: s["start"] < begin + F.length(piece))
+
+            def step(state: F.Column, s: F.Column) -> F.Column:
+                gap = F.substr(piece, state["at"] - begin + 1, F.greatest(s["start"] - state["at"], F.lit(0)))
+                name = F.when(s["start"] >= begin, F.element_at(names, s["kind"] + 1)).otherwise(F.lit(""))
+                return F.struct(s["end"].alias("at"), F.concat(state["out"], gap, name).alias("out"))
+
+            done = F.aggregate(F.slice(spans, first + 1, last - first), F.struct(begin.alias("at"), F.lit("").alias("out")), step)
+            return let(done, lambda d: F.concat(d["out"], F.substr(piece, d["at"] - begin + 1, F.greatest(F.length(piece) - (d["at"] - begin), F.lit(0)))))
+
+        pieces_ = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{PART}}}"), F.lit(0))
+        return F.array_join(F.transform(pieces_, part), "")
 
-    done = F.aggregate(by_place, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), step)
-    return F.when(F.size(spans) > 0, F.concat(done["out"], F.substr(text, done["at"] + 1, F.length(text)))).otherwise(text)
+    return F.when(F.size(spans) > 0, let(disjoint(spans), whole)).otherwise(text)

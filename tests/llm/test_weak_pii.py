@@ -102,3 +102,29 @@ def test_label_model_finds_the_reliable_labeler():
     reliability = [t[5] for t in table]
     assert reliability[0] > 0.9 and reliability[0] > reliability[2] > reliability[1] > reliability[3] and reliability[3] < 0.62
     assert weights[0] > weights[2] > weights[3] and posterior[0, (1, 1, 1, 1)] > 0.99
+
+
+def spread(rng, n):
+    text = "".join(rng.choice("abé\n😀 x") for _ in range(n))
+    spans = [(rng.randrange(9), s, min(n, s + rng.choice([1, 3, 5, 10, 6000]))) for s in (rng.randrange(n) for _ in range(n // 40))]
+    return text, spans
+
+
+def replaced(text, spans):
+    at, out = 0, []
+    for start, end, kind in sorted((s, e, k) for k, s, e in spans):
+        out.append(text[at : max(start, at)])
+        if end > at:
+            out.append(f"[{weak_pii.KINDS[kind].upper()}]")
+        at = max(at, end)
+    return "".join(out) + text[at:]
+
+
+def test_redaction_of_many_spans_against_brute_force(spark):
+    rng = random.Random(3)
+    rows = [spread(rng, n) for n in (1, 5, 300, 9000, 20_000)]
+    rows += [("", []), ("x" * 500_000, [(i % 9, 10 * i + 2, 10 * i + 7) for i in range(50_000)])]
+    schema = "text string, spans array<struct<kind:int,start:int,end:int,value:string,probability:double,base:boolean>>"
+    docs = spark.createDataFrame([(t, [(k, s, e, "", 0.0, True) for k, s, e in found]) for t, found in rows], schema)
+    got = [r[0] for r in docs.select(weak_pii.redacted(F.col("text"), F.col("spans"))).collect()]
+    assert got == [replaced(t, found) for t, found in rows]

@@ -32,8 +32,10 @@ PLAIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?[0-9]+| ?(?:[^\s\w]|_)+
 NOT_PLAIN = re.compile("[^\n\x20-\x7e\u00c0-\u024f]")
 #: Characters of text split at a time, to bound the memory of the pieces.
 SLICE_CHARS = 5_000_000
-#: Distinct pretokens that a task remembers; beyond it the memory starts anew (results don't depend on it).
+#: Distinct pretokens that a task remembers, and the longest of them in characters: at most about 60 MB. A longer one is
+#: forgotten with its slice, and beyond the number the memory starts anew (results don't depend on either).
 CACHE_WORDS = 200_000
+CACHE_CHARS = 48
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -173,6 +175,9 @@ class PairIndexBPE:
             words.update(zip(new, self.encode_words([w.encode() for w in new])))
             words.update((token, np.array([i], "<u4").tobytes()) for token, i in self.added.items())
             out += [b"".join(map(words.__getitem__, row)) for row in rows]
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del words[w]
             at = end
         return out
 
@@ -193,7 +198,8 @@ def encode_rows(docs: DataFrame, tokenizer_path: str, text: str = "text", carry:
 
     A null text counts as empty and has no ids. Repeated rows stay repeated; an empty table gives an
     empty result. Special tokens that stand in a text get their own ids, as in the tokenizers library.
-    Bounded memory: one Arrow batch and at most ``CACHE_WORDS`` remembered pretokens beyond it.
+    Bounded memory: one slice of texts (or the longest text) and ``CACHE_WORDS`` remembered pretokens of at most
+    ``CACHE_CHARS`` characters.
     """
 
     def run(texts: list[str]) -> list[pa.Array]:

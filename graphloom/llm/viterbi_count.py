@@ -26,8 +26,10 @@ from graphloom.llm._common import with_results
 
 MARK = "▁"
 UNKNOWN_PENALTY = 10.0
-#: Distinct words that a worker remembers; beyond it the memory starts anew (results don't depend on it).
+#: Distinct words that a worker remembers, and the longest of them in characters: at most about 60 MB. A longer one is
+#: forgotten with its slice, and beyond the number the memory starts anew (results don't depend on either).
 CACHE_WORDS = 300_000
+CACHE_CHARS = 48
 #: Characters of text split at a time.
 SLICE_CHARS = 5_000_000
 FIELDS = [T.StructField("n_tokens", T.LongType()), T.StructField("score", T.DoubleType())]
@@ -91,9 +93,13 @@ class CountingViterbi:
             if len(self.words) > CACHE_WORDS:
                 self.words = {}
             words = self.words
-            for w in set().union(*rows).difference(words):
+            new = set().union(*rows).difference(words)
+            for w in new:
                 words[w] = self.word(w)
             out += [sum(map(words.__getitem__, row), 0j) for row in rows]
+            for w in new:
+                if len(w) > CACHE_CHARS:
+                    del words[w]
             at = end
         return out
 
@@ -121,7 +127,8 @@ def count_rows(docs: DataFrame, model_path: str, text: str = "text", carry: list
     """Each row of ``docs`` (struct ``row``) with ``n_tokens`` and the best ``score`` of its text.
 
     A null or empty text has no tokens and score 0. Repeated rows stay repeated; an empty table gives
-    an empty result. Memory is bounded by one Arrow batch, the longest word and ``CACHE_WORDS``.
+    an empty result. Memory is bounded by one slice of texts (or the longest text), the longest word and
+    ``CACHE_WORDS`` words of at most ``CACHE_CHARS`` characters.
     """
 
     def run(texts: list[str]) -> list[pa.Array]:

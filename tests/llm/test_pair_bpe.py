@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -36,3 +38,13 @@ def test_rows(spark):
     got = sorted((r.row.doc_id or 0, len(r.ids) // 4, r.decoded) for r in out.collect())
     assert got == [(0, 0, ""), (1, 2, "a b"), (1, 2, "a b"), (2, 0, "")]
     assert pair_bpe.query(spark.createDataFrame([], SCHEMA), PATH).count() == 0
+
+
+def test_long_pretokens_are_not_kept():
+    bpe = pair_bpe.model(PATH)
+    bpe.forget()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(50)]
+    packed = bpe.encode_batch(texts)
+    assert max(map(len, bpe.words), default=0) <= pair_bpe.CACHE_CHARS
+    assert bpe.encode_batch(texts) == packed and [bpe.decode(p) for p in packed] == texts

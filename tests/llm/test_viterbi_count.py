@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -54,3 +56,12 @@ def test_rows(spark):
     assert viterbi_count.query(spark.createDataFrame([], SCHEMA), PATH).count() == 0
     with pytest.raises(ValueError):
         viterbi_count.CountingViterbi([("a", 0.0)])
+
+
+def test_long_words_are_not_kept():
+    counting = viterbi_count.model(PATH)
+    counting.words.clear()
+    rng = random.Random(5)
+    texts = ["".join(rng.choice("abcdefgh") for _ in range(3000)) for _ in range(50)]
+    found = counting.texts(texts)
+    assert max(map(len, counting.words), default=0) <= viterbi_count.CACHE_CHARS and counting.texts(texts) == found

@@ -18,10 +18,15 @@ from pyspark.sql import types as T
 
 
 def shared_root(spark: SparkSession) -> str:
-    """Folder that driver and executors share: ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """Folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Where it is unset, a local master gets a folder of its own; a cluster has no folder to guess, so that is an error.
+    """
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         root = f"/tmp/checkpoints/graphloom-{sc.applicationId}"
         sc.setCheckpointDir(root)
     return root.rstrip("/")
@@ -31,11 +36,45 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
 
 
+#: Paths that each application has written and not deleted.
+_written: dict[str, set[str]] = {}
+
+
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, so a lost executor costs a reread."""
     path = shared_path(df.sparkSession, name)
     df.write.option("compression", codec).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored.stored_at = path
+    return stored
+
+
+def discard(*stored: DataFrame | None) -> None:
+    """Delete tables of ``materialize`` that no later plan reads."""
+    for df in stored:
+        path = getattr(df, "stored_at", None)
+        if path is not None:
+            delete_path(df.sparkSession, path)
+            _written[df.sparkSession.sparkContext.applicationId].discard(path)
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all that this application's operators have written: once their results are stored elsewhere."""
+    for path in _written.pop(spark.sparkContext.applicationId, set()):
+        delete_path(spark, path)
+
+
+def join_by_share(left: DataFrame, right: DataFrame, key: str, rows: str, total: int, share: int = 1000) -> DataFrame:
+    """Inner join with ``right``, one row per key with the number ``rows`` of rows that ``left`` has of it, ``total`` in all.
+
+    Keys with more than 1 / ``share`` of all rows would each fall to one task. There are fewer than ``share`` of
+    them, so their side is broadcast; the rows of all other keys are shuffled. ``right`` is read twice.
+    """
+    heavy = right.filter(F.col(rows) * share > total)
+    common = left.join(F.broadcast(heavy), key)
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.filter(F.col(rows) * share <= total), key)
+    return common.unionByName(rest)
 
 
 _shipped: set[str] = set()
@@ -108,6 +147,7 @@ def with_results(
 
     Keeping the input in one struct means that its column names can clash with nothing.
     """
+    ship(df.sparkSession)
     carry = df.columns if carry is None else carry
     row = F.struct(*[F.col(f"`{c}`") for c in carry])
     schema = T.StructType([T.StructField("row", df.select(row).schema[0].dataType), *fields])

@@ -2,19 +2,19 @@
 
 from __future__ import annotations
 
-import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphloom.llm import chat_expand, divergence_rules, html_extract, lm_score, pair_bpe, probminhash, tiling, viterbi_count, warc_writer, weak_pii
-from graphloom.llm._common import ship
 
-TOKENIZERS = os.environ.get("GRAPHLOOM_TOKENIZERS", "/opt/tokenizers")
+#: Files of the queries; the operators take any path.
+BYTE_BPE = str(public_tokenizers.path("byte_bpe_50k.json"))
+PIECES = str(public_tokenizers.path("piece_bpe_32k.model"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -39,7 +39,7 @@ def op5_weak_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return viterbi_count.query(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/piece_bpe_32k.model")
+    return viterbi_count.query(table(spark, sf_dir, "documents"), PIECES)
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def op8_prefix_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pair_bpe.query(table(spark, sf_dir, "documents").select("doc_id", "text"), f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pair_bpe.query(table(spark, sf_dir, "documents").select("doc_id", "text"), BYTE_BPE)
 
 
 def op10_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:

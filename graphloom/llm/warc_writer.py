@@ -1,10 +1,12 @@
 """Deterministic sharded WARC writer and reader.
 
-Records are range-sorted by page id and written by one task per range. A task rolls to a new file
-once the compressed size passes a limit. Headers and digests are made anew from the payload, with
-nothing that depends on time, host or attempt, so the same input and ranges give the same bytes. A
-file is written under a temporary name and renamed when complete; the manifest, written last and
-committed by Spark's own protocol, lists the files that count.
+Records are range-sorted by page id and written by one task per range. The bounds of the ranges are
+counted, not sampled: they depend on the ids alone. A task rolls to a new file once the compressed size
+passes a limit. Headers and digests are made anew from the payload, with nothing that depends on time,
+host or attempt, so the same rows and number of ranges give the same bytes. A file is written under a
+temporary name and renamed when complete; the manifest, written last and committed by Spark's own
+protocol, lists the files that count, with size and digest. Where a rename isn't atomic (object stores),
+a file that is cut off is one that no manifest lists, or that differs from its size there.
 
 Of records with equal payloads the one with the smallest page id is the response. Who revisits
 whom is settled on (digest, page id) alone; the answers are sorted in among the pages as small
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import shared_path
+from graphloom.llm._common import join_by_share, materialize, shared_path, ship
 
 #: Compressed bytes after which a file is closed.
 ROLL_BYTES = 16_000_000
@@ -36,6 +38,8 @@ MIN_REVISIT_BYTES = 0
 LEVEL = 4
 #: Compressed bytes read at a time.
 STEP = 16_384
+#: Buckets of ids that are counted in one pass over them.
+BUCKETS = 65_536
 DATE = "2000-01-01T00:00:00Z"
 NAMESPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")  # the URL name space of RFC 4122
 
@@ -65,13 +69,17 @@ def base32_sha1(data: bytes) -> str:
 
 
 def header_value(text: str) -> str:
-    """One line of a header: line breaks and other controls would end it, so they are percent-coded."""
+    """One line of a header: line breaks and other controls would end it, so they are percent-coded.
+
+    That can't be told from percent signs that were there before, so such a record has its URL in base 64 beside it.
+    """
     return "".join(c if c == "%" or c.isprintable() else "".join(f"%{b:02X}" for b in c.encode("utf-8", "surrogatepass")) for c in text)
 
 
 def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool) -> bytes:
     """One record as a gzip member. A revisit holds no payload, but its full digest and length."""
     kind, digest, target = "revisit" if revisit else "response", base32_sha1(payload), header_value(url or "")
+    plain = target == (url or "") == target.strip()
     http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     block = http if revisit else http + payload
     name = uuid.uuid5(NAMESPACE, f"{page_id}\n{url}\n{digest}\n{kind}")
@@ -81,6 +89,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
         f"WARC-Record-ID: <urn:uuid:{name}>",
         f"WARC-Date: {DATE}",
         *([f"WARC-Target-URI: {target}"] if url is not None else []),
+        *([] if plain else [f"X-Target-Base64: {base64.b64encode(url.encode('utf-8', 'surrogatepass')).decode()}"]),
         "Content-Type: application/http; msgtype=response",
         f"WARC-Payload-Digest: sha1:{digest}",
         f"WARC-Block-Digest: sha1:{base32_sha1(block)}",
@@ -137,14 +146,61 @@ def uri(spark: SparkSession, path: str) -> str:
     return text.replace("file:/", "file:///", 1) if text.startswith("file:/") and not text.startswith("file://") else text
 
 
+def below(bounds: list[int], value: F.Column) -> F.Column:
+    """How many of the sorted ``bounds`` are not above ``value``, in steps that halve."""
+    if not bounds:
+        return F.lit(0)
+    held = F.lit(bounds)
+    steps = F.lit([1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)])
+    return F.aggregate(steps, F.lit(0), lambda n, k: F.when(F.coalesce(F.try_element_at(held, n + k) <= value, F.lit(False)), n + k).otherwise(n))
+
+
+def range_bounds(ids: DataFrame, ranges: int, buckets: int = BUCKETS) -> list[int]:
+    """First id of each range but the first, for ranges of about equal numbers of the ids (column ``id``; nulls aside).
+
+    Exact counts of equal-width buckets; a bucket with over an eighth of a range's rows is counted again in
+    finer ones, down to one id. So the bounds don't depend on partitions, order or chance. The driver holds at
+    most about ``buckets`` counts per pass, and some six passes see all ids of 64 bits.
+    """
+    wide = ids.filter("id is not null").select(F.col("id").cast("decimal(20,0)").alias("id"))
+    low, high, total = wide.agg(F.min("id"), F.max("id"), F.count("id")).first()
+    if not total or ranges < 2:
+        return []
+    limit = max(1, total // (8 * ranges))
+    open_, done = [(int(low), int(high))], []
+    while open_:
+        open_.sort()
+        fan = max(16, buckets // len(open_))
+        starts = [a for a, _ in open_]
+        widths = [(b - a) // fan + 1 for a, b in open_]
+        at = below(starts, F.col("id").cast("long"))
+        pick = lambda values: F.element_at(F.lit(values).cast("array<decimal(20,0)>"), F.col("at"))
+        inside = wide.withColumn("at", at).filter("at > 0").filter(F.col("id") <= pick([b for _, b in open_]))
+        place = inside.select("at", "id", F.floor((F.col("id") - pick(starts)) / pick(widths)).alias("bucket"))
+        counts = place.groupBy("at", "bucket").agg(F.min("id").alias("a"), F.max("id").alias("b"), F.count(F.lit(1)).alias("n")).collect()
+        open_ = []
+        for r in counts:
+            if r["n"] > limit and r["a"] < r["b"]:
+                open_.append((int(r["a"]), int(r["b"])))
+            else:
+                done.append((int(r["a"]), r["n"]))
+    bounds, before, current = [], 0, 0
+    for first, n in sorted(done):
+        if (number := before * ranges // total) > current:
+            bounds.append(first)
+            current = number
+        before += n
+    return bounds
+
+
 def prepared(pages: DataFrame, page_id: str, url: str, html: str, min_revisit_bytes: int) -> DataFrame:
     """Pages and directives in one frame: a directive (kind 0) says that its page revisits ``refers_to``."""
     payload = F.coalesce(F.col(f"`{html}`").cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
     known = rows.filter(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "url", F.unhex(F.sha1("payload")).alias("digest"))
     # the response is the smallest (page id, url); of repeated rows of that page the writer takes one
-    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    again = known.join(first, "digest").filter(F.col("page_id").isNotNull() | F.col("first_id").isNotNull()).select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
+    first = materialize(known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+    again = join_by_share(known, first, "digest", "n", rows.count()).filter(F.col("page_id").isNotNull() | F.col("first_id").isNotNull()).select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
     blank = lambda kind, name: F.lit(None).cast(kind).alias(name)
     directives = again.select("page_id", blank("string", "url"), blank("binary", "payload"), F.lit(0).alias("kind"), "refers_to", "digest")
     return rows.select("page_id", "url", "payload", F.lit(1).alias("kind"), blank("long", "refers_to"), blank("binary", "digest")).unionAll(directives)
@@ -165,24 +221,30 @@ def write(
     A null html is an empty payload; empty payloads are equal like others. Null page ids sort first,
     count as the largest for the choice of the response, and their records carry no id; a null url
     gives no target. Of repeated rows of one page with one payload, one is the response and the others
-    revisit it. An empty table gives an empty manifest. Memory per task: one page and one Arrow batch.
+    revisit it. An empty table gives an empty manifest. Page ids must be whole numbers of 64 bits. Rows of one
+    page id stay in one range. Memory per task: one page and one Arrow batch.
     """
     spark = pages.sparkSession
+    ship(spark)
     target = uri(spark, directory)
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = prepared(pages, page_id, url, html, min_revisit_bytes).repartitionByRange(ranges, F.col("page_id"))
-    ordered = ordered.sortWithinPartitions("page_id", "kind", "digest", "url", "payload")
+    bounds = range_bounds(pages.select(F.col(f"`{page_id}`").cast("long").alias("id")), ranges)
+    placed = prepared(pages, page_id, url, html, min_revisit_bytes).withColumn("part", F.coalesce(below(bounds, F.col("page_id")), F.lit(0)))
+    ordered = placed.repartitionById(ranges, F.col("part")).sortWithinPartitions("part", "page_id", "kind", "digest", "url", "payload")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
-        writer = ShardWriter(target, context.partitionId(), f"{context.stageId()}-{context.taskAttemptId()}", roll_bytes)
+        writer: ShardWriter | None = None
         done: list[dict | None] = []
-        current: object = writer  # no page id yet
+        current: object = context  # no page id yet
         known: dict[bytes, int | None] = {}
         written: set[bytes] = set()
         for batch in batches:
             for row in batch.to_pylist():
-                if row["page_id"] != current or current is writer:
+                if writer is None or row["part"] != writer.part:
+                    done.append(writer and writer.close())
+                    writer = ShardWriter(target, row["part"], f"{context.stageId()}-{context.taskAttemptId()}", roll_bytes)
+                if row["page_id"] != current or current is context:
                     current, known, written = row["page_id"], {}, set()
                 if row["kind"] == 0:
                     known[row["digest"]] = row["refers_to"]
@@ -192,7 +254,7 @@ def write(
                 revisit = digest in known and (known[digest] != row["page_id"] or digest in written)
                 written.add(digest)
                 done.append(writer.add(record(row["page_id"], row["url"], payload, known.get(digest), revisit)))
-        done.append(writer.close())
+        done.append(writer and writer.close())
         files = [d for d in done if d]
         if files:
             yield pa.RecordBatch.from_pylist(files, pa.schema([("file", pa.string()), ("n_records", pa.int64()), ("n_bytes", pa.int64()), ("sha1", pa.string())]))
@@ -228,7 +290,7 @@ def parse(archive: bytes) -> Iterator[dict]:
         number = lambda key: int(fields[key]) if key in fields else None
         yield {
             "page_id": number("X-Page-ID"),
-            "url": fields.get("WARC-Target-URI"),
+            "url": base64.b64decode(fields["X-Target-Base64"]).decode("utf-8", "surrogatepass") if "X-Target-Base64" in fields else fields.get("WARC-Target-URI"),
             "payload_bytes": number("X-Payload-Length"),
             "payload_digest": digest,
             "record_type": fields["WARC-Type"],
@@ -242,6 +304,7 @@ def read(spark: SparkSession, directory: str, payloads: bool = True) -> DataFram
 
     Each file is one row of at most about the roll size plus one record.
     """
+    ship(spark)
     manifest = spark.read.schema(MANIFEST).json(f"{uri(spark, directory)}/manifest")
     listed = manifest.select(F.col("file").alias("listed"), F.col("n_bytes"))
     found = spark.read.format("binaryFile").load(f"{uri(spark, directory)}/shard-*.warc.gz")

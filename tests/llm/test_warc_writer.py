@@ -1,6 +1,9 @@
+import bisect
 import gzip
 import hashlib
 import os
+import random
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -62,3 +65,36 @@ def test_edges(spark):
     warc_writer.write(long, directory, min_revisit_bytes=3)
     kinds = {r.page_id: (r.record_type, r.refers_to) for r in warc_writer.read(spark, directory).collect()}
     assert kinds == {1: ("response", None), 2: ("response", None), 3: ("response", None), 4: ("revisit", 3)}
+
+
+def test_the_same_table_gives_the_same_files_however_it_is_dealt(spark):
+    pages = spark.range(120_000).selectExpr("id * id % 1000003 as page_id", "concat('u', id) as url", "concat('<p>', id % 5000, '</p>') as html")
+    ways = [pages, pages, pages.repartition(13), pages.orderBy(F.rand())]
+    found = []
+    for k, way in enumerate(ways):
+        directory = shared_path(spark, f"d{k}")
+        warc_writer.write(way, directory, ranges=6, roll_bytes=2_000_000)
+        found.append({n: hashlib.sha1(x).hexdigest() for n, x in files_of(directory).items()})
+    assert len(found[0]) >= 6 and all(f == found[0] for f in found)
+
+
+def test_bounds_are_counted(spark):
+    rng = random.Random(4)
+    dense = list(range(5000))
+    cases = [dense, [7] * 100, [1], [], [*dense, 2**63 - 1, -(2**63)], [rng.randrange(-(2**63), 2**63) for _ in range(3000)], [10**15 + i for i in dense] + [rng.randrange(100) for _ in range(4000)]]
+    for ids in cases:
+        frame = spark.createDataFrame([(i,) for i in [*ids, None]], "id long")
+        bounds = warc_writer.range_bounds(frame, 6, 64)
+        assert bounds == sorted(set(bounds)) and set(bounds) <= set(ids)
+        got = frame.select("id", warc_writer.below(bounds, F.col("id")).alias("part")).filter("id is not null").collect()
+        assert all(r.part == bisect.bisect_right(bounds, r.id) for r in got)
+        sizes = Counter(r.part for r in got)
+        if len(set(ids)) > 2000:
+            assert len(sizes) == 6 and max(sizes.values()) < 1.5 * min(sizes.values())
+
+
+def test_urls_come_back_as_they_were(spark):
+    urls = ["http://x/a%20b", "a%0Db", "a\rb", " edge ", "", "é ", None, "x: y"]
+    directory = shared_path(spark, "t4")
+    warc_writer.write(spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, html string"), directory)
+    assert [r.url for r in sorted(warc_writer.read(spark, directory).collect(), key=lambda r: r.page_id)] == urls

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from graphloom.llm import divergence_rules, pair_bpe, probminhash, tiling, weak_pii
 from graphloom.llm._common import materialize
-from graphloom.llm.registry import TOKENIZERS, table
+from graphloom.llm.registry import BYTE_BPE, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,13 +22,15 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each class of near-duplicates: that with the smallest id, and of its repeated rows one. Rows with a null id stay."""
+    names = [F.col(f"`{c}`") for c in docs.columns]
     classes = probminhash.near_duplicates(docs).filter("doc_id = class_id").select("doc_id").distinct()
     first = docs.join(classes, "doc_id", "left_semi")
     repeated = docs.groupBy("doc_id").count().filter("doc_id is not null and count > 1").select("doc_id")
     once = first.join(repeated, "doc_id", "left_anti")
-    # rows of one id that occurs again: the least row, as its columns sort
-    others = first.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return once.select(*docs.columns).unionByName(others).unionByName(docs.filter("doc_id is null"))
+    # rows of one id that occurs again: the least row as JSON, so that columns of any type have an order
+    row = F.struct(*names)
+    others = first.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*")
+    return once.select(*names).unionByName(others).unionByName(docs.filter("doc_id is null"))
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, and the digests of ids and decoded text."""
-    return pair_bpe.query(docs, f"{TOKENIZERS}/byte_bpe_50k.json")
+    return pair_bpe.query(docs, BYTE_BPE)
 
 
 STAGES = [

@@ -1,18 +1,26 @@
 """Near-duplicates with ProbMinHash signatures, banding and exact verification.
 
-ProbMinHash: each shingle of a text is a Poisson process whose rate is its weight. Its arrivals
-fall on random registers; a register keeps the shingle of its first arrival. The share of equal
-registers estimates the probability Jaccard similarity; here all shingles of a text weigh the same, so
-that it is the Jaccard similarity of the sets, by which links are tested. Arrivals are made in order of time and only
-up to the time at which every register is taken (early termination): a text takes one arrival per
-shingle and about k log k further ones for k registers.
-
-Texts are grouped first by equality, so that copies stand for one text. Texts that agree on a band
-of registers meet in a bucket, and texts that meet, also by way of others, form a candidate group. A
-group is split by hash into blocks of bounded size; each pair of blocks goes to one task, which
-computes all its Jaccard similarities exactly and passes on a spanning forest of the links it finds.
-So no pair that shares a bucket is left out, no pair becomes a row, and no task holds a whole group.
-Classes are the connected components of the links.
+ProbMinHash: each shingle of a text is a Poisson process whose rate is its weight, the number of its
+occurrences. Its arrivals fall on random registers; a register keeps the shingle of its first arrival.
+The share of equal registers estimates the probability Jaccard similarity J_P of two texts. Arrivals are
+made in order of time and only up to the time at which every register is taken (early termination): a text
+takes one arrival per shingle and about k log k further ones for k registers.
+
+Two texts are linked if J_P of their weighted shingles or the Jaccard similarity of their shingle sets is
+at least the limit. With equal weights J_P is the similarity of the sets, so a text that repeats shingles is
+signed twice, as weighted and as a set; other texts have one signature for both. Neither kind of link
+depends on the other's signature.
+
+Texts are grouped first by equality, so that copies stand for one text. Texts that agree on a band of
+registers meet in a bucket. Verification takes two steps, both exact and both in blocks of bounded size:
+
+1. Each bucket's least id is its hub. The texts that meet a hub are split into blocks, the hub with each,
+   and all similarities in a block are computed. Where a hub has one block, its buckets are done.
+2. Of the other buckets, those whose texts are of one class by now are done as well. In the rest, texts
+   outside the bucket's largest class are compared with each other and with that class, block by block.
+
+So a large group of near copies costs in proportion to its size, no pair becomes a row, and each pair of a
+bucket that isn't linked by way of others has been compared. Classes are the connected components.
 """
 
 from __future__ import annotations
@@ -25,15 +33,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import doc_text, materialize, trim_memory
+from graphloom.llm._common import discard, doc_text, join_by_share, materialize, ship, trim_memory
 
 WORDS = 5
 SIMILARITY = 0.8
 #: At similarity 0.8 a pair shares no band with a probability of about 1 in 20,000.
 BANDS = 25
 ROWS = 5
-#: Texts of a block, on average.
+#: Texts and shingles of a block, on average.
 BLOCK = 512
+BLOCK_SHINGLES = 1_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096
 #: Characters of text whose shingles are worked on at a time.
@@ -70,10 +79,10 @@ def shingle_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def text_shingles(texts: list[str], width: int) -> list[np.ndarray]:
-    """Distinct shingles of each text."""
+def text_shingles(texts: list[str], width: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Distinct shingles of each text and how often they occur."""
     known: dict[bytes, int] = {}
-    return [np.unique(shingle_hashes(word_hashes(t.encode("utf-8", "surrogatepass").split(), known), width)) for t in texts]
+    return [np.unique(shingle_hashes(word_hashes(t.encode("utf-8", "surrogatepass").split(), known), width), return_counts=True) for t in texts]
 
 
 def signatures(weighted: list[tuple[np.ndarray, np.ndarray]], k: int) -> np.ndarray:
@@ -141,61 +150,101 @@ def slices(texts: list[str]) -> Iterator[tuple[int, int]]:
         at = end
 
 
-def band_keys(texts: list[str], width: int, bands: int, rows: int) -> list[list[int]]:
-    """Keys of the bands of each text; texts without words have none."""
+def keys_of(weighted: list[tuple[np.ndarray, np.ndarray]], bands: int, rows: int) -> np.ndarray:
+    signed = signatures(weighted, bands * rows).reshape(len(weighted), bands, rows)
+    keys = np.zeros((len(weighted), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
+    for j in range(rows):
+        keys = mix(keys * GOLD + signed[:, :, j])
+    return keys.view(np.int64)
+
+
+def band_keys(texts: list[str], width: int, bands: int, rows: int) -> tuple[list[list[int]], list[int]]:
+    """Keys of the bands of each text, and its number of distinct shingles; texts without words have no keys."""
     out: list[list[int]] = []
+    sizes: list[int] = []
     for at, end in slices(texts):
         own = list(dict.fromkeys(texts[at:end]))
-        # equal weights: a register agrees with the probability of the Jaccard similarity that links are tested by
-        signed = signatures([(s, np.ones(len(s))) for s in text_shingles(own, width)], bands * rows).reshape(len(own), bands, rows)
-        keys = np.zeros((len(own), bands), np.uint64) + np.arange(1, bands + 1, dtype=np.uint64)
-        for j in range(rows):
-            keys = mix(keys * GOLD + signed[:, :, j])
-        listed = keys.view(np.int64).tolist()
-        found = {t: listed[i] if signed[i].any() else [] for i, t in enumerate(own)}
-        out += [found[t] for t in texts[at:end]]
-    return out
+        found = text_shingles(own, width)
+        plain = keys_of([(s, np.ones(len(s))) for s, _ in found], bands, rows).tolist()
+        repeats = [i for i, (_, n) in enumerate(found) if len(n) and n.max() > n.min()]
+        for i, more in zip(repeats, keys_of([found[i] for i in repeats], bands, rows).tolist()):
+            plain[i] = list(dict.fromkeys(plain[i] + more))
+        listed = {t: (plain[i] if len(found[i][0]) else [], len(found[i][0])) for i, t in enumerate(own)}
+        for t in texts[at:end]:
+            out.append(listed[t][0])
+            sizes.append(listed[t][1])
+    return out, sizes
 
 
 def keyed(docs: DataFrame, width: int, bands: int, rows: int) -> DataFrame:
-    """(id, copy, keys): copy is the digest of the text, keys those of its bands."""
+    """(id, copy, size, keys): copy is the digest of the text, size its number of shingles, keys those of its bands."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
-                keys = band_keys(batch.column(2).to_pylist(), width, bands, rows)
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64()))], names=["id", "copy", "keys"])
+                keys, sizes = band_keys(batch.column(2).to_pylist(), width, bands, rows)
+                columns = [batch.column(0), batch.column(1), pa.array(sizes, pa.int64()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "copy", "size", "keys"])
         trim_memory()
 
-    schema = T.StructType([docs.schema["id"], T.StructField("copy", T.BinaryType()), T.StructField("keys", T.ArrayType(T.LongType()))])
-    return docs.select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"), "text").mapInArrow(run, schema)
+    schema = T.StructType([docs.schema["id"], T.StructField("copy", T.BinaryType()), T.StructField("size", T.LongType()), T.StructField("keys", T.ArrayType(T.LongType()))])
+    return docs.select("id", "copy", "text").mapInArrow(run, schema)
 
 
 def shingle_sets(docs: DataFrame, width: int) -> DataFrame:
-    """(id, shingles): the distinct shingle hashes of each text, packed."""
+    """(id, shingles, times): the distinct shingle hashes of each text, packed, and their counts where they differ."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).to_pylist()
             for at, end in slices(texts):
-                sets = [s.tobytes() for s in text_shingles(texts[at:end], width)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sets, pa.binary())], names=["id", "shingles"])
+                found = text_shingles(texts[at:end], width)
+                sets = [s.tobytes() for s, _ in found]
+                times = [n.astype(np.uint32).tobytes() if len(n) and n.max() > n.min() else None for _, n in found]
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, end - at), pa.array(sets, pa.binary()), pa.array(times, pa.binary())], names=["id", "shingles", "times"])
+        trim_memory()
+
+    fields = [docs.schema["id"], T.StructField("shingles", T.BinaryType()), T.StructField("times", T.BinaryType())]
+    return docs.select("id", "text").mapInArrow(run, T.StructType(fields))
 
-    return docs.select("id", "text").mapInArrow(run, T.StructType([docs.schema["id"], T.StructField("shingles", T.BinaryType())]))
 
+def probability_jaccard(a: np.ndarray, x: np.ndarray, b: np.ndarray, y: np.ndarray, enough: float = 0.0) -> float:
+    """J_P of two weighted sets (sorted shingles, weights): the sum over shared i of 1 / sum over j of max(x_j / x_i, y_j / y_i).
 
-def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """Which pairs of sets have Jaccard similarity of ``similarity`` or more, as a square of booleans."""
+    The j with x_j / y_j above x_i / y_i take the first side of the maximum, so the j are put in order of that
+    ratio. 0 if an upper bound, the mass that the two have in common, is under ``enough``.
+    """
+    x, y = x / x.sum(), y / y.sum()
+    _, i, j = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    u, v = x[i], y[j]
+    if not len(u) or np.minimum(u, v).sum() < enough:
+        return 0.0
+    ratio = u / v
+    order = np.argsort(ratio, kind="stable")
+    u, v, ratio = u[order], v[order], ratio[order]
+    above = 1.0 - np.cumsum(u) + u  # the mass of x from here on, with what only x has
+    under = np.cumsum(v) - v + (1.0 - v.sum())  # the mass of y before, with what only y has
+    return float((1.0 / (above / u + under / v)).sum())
+
+
+def similar(sets: list[np.ndarray], times: list[np.ndarray | None], similarity: float) -> np.ndarray:
+    """Links (row pairs) of which all follow: sets with a Jaccard similarity of ``similarity`` or more, as a square of booleans.
+
+    Pairs linked by J_P alone are added unless the sets' links join them already.
+    """
     n = len(sets)
     size = np.array([len(s) for s in sets], np.float64)
     owner = np.repeat(np.arange(n), size.astype(np.int64))
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    owner, column = owner[shared], column[shared]
-    both = np.zeros((n, n), np.float32)
+    weights = [np.ones(len(s), np.float32) if t is None else t.astype(np.float32) for s, t in zip(sets, times)]
+    mass = np.concatenate([w / w.sum() if len(w) else w for w in weights])
+    weighted = any(t is not None for t in times)
+    _, column, often = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = often[column] > 1
+    owner, column, mass = owner[shared], column[shared], mass[shared]
+    both, common = np.zeros((n, n), np.float32), np.zeros((n, n), np.float32)
     if len(column):
         order = np.argsort(column, kind="stable")
-        owner = owner[order]
+        owner, mass = owner[order], mass[order]
         column = np.unique(column[order], return_inverse=True)[1]
         width = int(column[-1]) + 1
         for at in range(0, width, COLUMNS):
@@ -203,7 +252,22 @@ def similar(sets: list[np.ndarray], similarity: float) -> np.ndarray:
             part = np.zeros((n, min(COLUMNS, width - at)), np.float32)
             part[owner[a:b], column[a:b] - at] = 1
             both += part @ part.T
-    return both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+            if weighted:
+                share = np.zeros_like(part)
+                share[owner[a:b], column[a:b] - at] = mass[a:b]
+                common += share @ part.T
+    links = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-6
+    links &= both > 0
+    if weighted:
+        repeats = np.array([t is not None for t in times])
+        # neither text has less than J_P of its mass in shingles of the other
+        near = (np.minimum(common, common.T) >= similarity - 1e-4) & ~links & (repeats[:, None] | repeats[None, :])
+        label = forest(links)
+        for i, j in zip(*np.nonzero(np.triu(near, 1))):
+            if label[i] != label[j] and probability_jaccard(sets[i], weights[i], sets[j], weights[j], similarity - 1e-4) >= similarity - 1e-9:
+                links[i, j] = links[j, i] = True
+                label[label == max(label[i], label[j])] = min(label[i], label[j])
+    return links
 
 
 def forest(links: np.ndarray) -> np.ndarray:
@@ -218,8 +282,8 @@ def forest(links: np.ndarray) -> np.ndarray:
         label = least
 
 
-def linked(members: DataFrame, similarity: float) -> DataFrame:
-    """(a, b): a spanning forest of the links within each (comp, lo, hi) of members(id, shingles, comp, lo, hi)."""
+def linked(members: DataFrame, keys: list[str], similarity: float) -> DataFrame:
+    """(a, b): a spanning forest of the links within each block (rows with equal ``keys``) of members(id, shingles, times)."""
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(group: pa.Table) -> pa.Table:
@@ -227,14 +291,20 @@ def linked(members: DataFrame, similarity: float) -> DataFrame:
             return schema.empty_table()
         ids = np.array(group.column("id").to_pylist(), np.int64)
         order = np.argsort(ids, kind="stable")
-        packed = group.column("shingles").to_pylist()
+        packed, counted = group.column("shingles").to_pylist(), group.column("times").to_pylist()
         sets = [np.frombuffer(packed[i], np.uint64) for i in order.tolist()]
+        times = [None if counted[i] is None else np.frombuffer(counted[i], np.uint32) for i in order.tolist()]
         ids = ids[order]
-        label = forest(similar(sets, similarity))
+        label = forest(similar(sets, times, similarity))
         joined = np.flatnonzero(label != np.arange(len(ids)))
         return pa.Table.from_arrays([pa.array(ids[label[joined]]), pa.array(ids[joined])], schema=schema)
 
-    return members.groupBy("comp", "lo", "hi").applyInArrow(run, "a long, b long")
+    return members.groupBy(*keys).applyInArrow(run, "a long, b long").filter("a != b").distinct()
+
+
+def blocks_of(number: F.Column, size: F.Column) -> F.Column:
+    """How many blocks a group of ``number`` texts with ``size`` shingles takes."""
+    return F.greatest(F.ceil(number / BLOCK), F.ceil(size / BLOCK_SHINGLES), F.lit(1)).cast("int")
 
 
 def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -256,18 +326,23 @@ def components(edges: DataFrame, labels: DataFrame) -> DataFrame:
         up = hook.select(F.col("node").alias("parent"), F.col("parent").alias("root"))
         step = materialize(hook.join(up, "parent").select("node", "root"), "hook")
         if roots is None:
-            roots = step
+            roots = materialize(step, "roots")
         else:
             moved = roots.join(step.select(F.col("node").alias("root"), F.col("root").alias("new")), "root", "left")
-            roots = materialize(moved.select("node", F.coalesce("new", "root").alias("root")), "roots")
+            before, roots = roots, materialize(moved.select("node", F.coalesce("new", "root").alias("root")), "roots")
+            discard(before)
         renamed = current.join(step.select(F.col("node").alias("u"), F.col("root").alias("ru")), "u").join(step.select(F.col("node").alias("v"), F.col("root").alias("rv")), "v")
-        current = materialize(renamed.filter("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links")
+        before, current = current, materialize(renamed.filter("ru != rv").select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), "links")
+        discard(before, step)
         turn += 1
+    discard(current)
     if roots is None:
         return labels
     smallest = roots.groupBy("root").agg(F.min("node").alias("to"))
     moved = roots.join(smallest, "root").select(F.col("node").alias("label"), "to")
-    return materialize(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    joined = materialize(labels.join(moved, "label", "left").select("id", F.coalesce("to", "label").alias("label")), "labels")
+    discard(roots)
+    return joined
 
 
 def near_duplicates(
@@ -285,39 +360,62 @@ def near_duplicates(
     is one shingle. A null text counts as empty; empty texts are copies of each other, as all equal texts
     are, and near-duplicates of nothing else. A row with a null id is a class of its own (null). Repeated
     ids: the id stands for all its texts, so their classes are one, and each row comes back. An empty
-    table gives an empty result.
+    table gives an empty result. Ids must be whole numbers of 64 bits.
     """
+    ship(docs.sparkSession)
     source = docs.select(F.col(f"`{doc_id}`").cast("long").alias("id"), doc_text(text).alias("text"))
-    given = source.filter("id is not null")
+    given = source.filter("id is not null").select("id", F.unhex(F.md5(F.col("text").cast("binary"))).alias("copy"), "text")
     seen = materialize(keyed(given, width, bands, rows), "signatures")
+    total = seen.count()
     # copies: one id stands for each text, and one label for all texts of an id
-    first = seen.groupBy("copy").agg(F.min("id").alias("rep"))
-    copies = materialize(seen.select("id", "copy").join(first, "copy").select("id", "rep"), "copies")
-    nodes = copies.select(F.col("rep").alias("id")).distinct()
-    labels = nodes.select("id", F.col("id").alias("label"))
+    first = materialize(seen.groupBy("copy").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "first")
+    copies = materialize(join_by_share(seen.select("id", "copy"), first, "copy", "n", total).select("id", "rep"), "copies")
+    labels = first.select(F.col("rep").alias("id")).distinct().select("id", F.col("id").alias("label"))
     shared = copies.groupBy("id").agg(F.min("rep").alias("a"), F.max("rep").alias("b")).filter("a != b")
+    labels = materialize(labels, "labels")
     if shared.head(1):
         extra = copies.join(shared.select("id", "a"), "id").filter("rep != a").select("a", F.col("rep").alias("b"))
-        labels = components(extra, materialize(labels, "labels"))
-    stands = seen.join(first, "copy").filter("id = rep").select("id", "keys").dropDuplicates(["id", "keys"])
-    buckets = stands.select("id", F.explode("keys").alias("key"))
-    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top")).filter("hub != top").select("key", "hub")
-    met = materialize(buckets.join(hubs, "key").select(F.col("hub").alias("a"), F.col("id").alias("b")).distinct(), "met")
-    candidates = materialize(met.select(F.col("b").alias("id")).distinct(), "candidates")
-    groups = components(met.filter("a != b"), candidates.select("id", F.col("id").alias("label"))).withColumnRenamed("label", "comp")
-    sizes = groups.groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    placed = groups.join(sizes, "comp").select("id", "comp", "blocks", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int").alias("own"))
-    # an id with several texts brings them all: it is similar to whatever one of them is similar to
-    sets = shingle_sets(given.join(candidates, "id", "left_semi"), width)
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    members = placed.select("id", "comp", "own", other).join(sets, "id")
-    members = members.select("id", "comp", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "shingles")
-    labels = components(linked(members, similarity).filter("a != b").distinct(), labels)
+        labels = components(extra, labels)
+    # an id stands for a text once; it brings all texts that it stands for
+    stands = seen.join(first.select("copy", F.col("rep").alias("id")), ["copy", "id"], "left_semi").dropDuplicates(["copy", "id"])
+    buckets = materialize(stands.select("id", "size", F.explode("keys").alias("key")), "buckets")
+    hubs = buckets.groupBy("key").agg(F.min("id").alias("hub"), F.max("id").alias("top"), F.count(F.lit(1)).alias("n")).filter("hub != top")
+    met = materialize(join_by_share(buckets, materialize(hubs, "hubs"), "key", "n", total).select("key", "hub", "id", "size"), "met")
+    candidates = first.select("copy", F.col("rep").alias("id")).join(met.select("id").distinct(), "id", "left_semi")
+    texts = given.join(candidates, ["copy", "id"], "left_semi").dropDuplicates(["copy", "id"]).select("id", "text")
+    sets = materialize(shingle_sets(texts, width), "sets", "lz4")
+
+    # each hub with the texts that meet it
+    pairs = met.select("hub", "id", "size").distinct()
+    load = pairs.groupBy("hub").agg(F.count(F.lit(1)).alias("n"), blocks_of(F.count(F.lit(1)), F.sum("size")).alias("blocks"))
+    load = materialize(load, "load")
+    block = F.when(F.col("id") == F.col("hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")))
+    placed = join_by_share(pairs.select("hub", "id"), load, "hub", "n", total).select("hub", "id", F.explode(block).alias("block")).distinct()
+    labels = components(linked(placed.join(sets, "id"), ["hub", "block"], similarity), labels)
+
+    # buckets of hubs with several blocks, where classes are left that haven't met
+    several = load.filter("blocks > 1").select("hub")
+    if several.head(1):
+        inside = materialize(met.join(several, "hub", "left_semi").select("key", "id", "size").join(labels, "id"), "inside")
+        classes = inside.groupBy("key", "label").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("size"))
+        whole = classes.groupBy("key").agg(F.max_by("label", "n").alias("core"), F.max("n").alias("n"), F.max_by("size", "n").alias("size"), F.sum("n").alias("all"), F.sum("size").alias("all_size"))
+        whole = whole.filter("n < all").select("key", "core", blocks_of(F.col("n"), F.col("size")).alias("cores"), blocks_of(F.col("all") - F.col("n"), F.col("all_size") - F.col("size")).alias("rests"))
+        inside = inside.join(whole, "key")
+        place = F.xxhash64("id")
+        is_core = F.col("label") == F.col("core")
+        own = F.when(is_core, F.col("rests") + F.pmod(place, F.col("cores"))).otherwise(F.pmod(place, F.col("rests"))).cast("int")
+        others = F.sequence(F.lit(0), F.col("rests") - 1 + F.when(is_core, 0).otherwise(F.col("cores")))
+        inside = inside.select("key", "id", own.alias("own"), F.explode(others).alias("other"))
+        blocks = inside.select("key", "id", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi")).distinct()
+        labels = components(linked(blocks.join(sets, "id"), ["key", "lo", "hi"], similarity), labels)
+
     whole = copies.join(labels.select(F.col("id").alias("rep"), "label"), "rep").select("id", "label")
     by_id = whole.groupBy("id").agg(F.min("label").alias("label"), F.count(F.lit(1)).alias("n"))
     repeated = by_id.select(F.col("id").alias("doc_id"), F.col("label").alias("class_id"), F.explode(F.array_repeat(F.lit(0), F.col("n").cast("int"))).alias("i")).drop("i")
     nulls = source.filter("id is null").select(F.col("id").alias("doc_id"), F.col("id").alias("class_id"))
-    return repeated.unionByName(nulls)
+    result = repeated.unionByName(nulls)
+    discard(seen, first, buckets, met, sets, load)
+    return result
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -1,6 +1,8 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pytest
 
 from graphloom.llm import probminhash
 
@@ -9,7 +11,18 @@ SCHEMA = "doc_id long, text string, id string, label string, key string, class_i
 
 def shingles(text):
     words = (text or "").encode().split()
-    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    return Counter(tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))) if words else Counter()
+
+
+def jaccard(a, b):
+    return len(a.keys() & b.keys()) / len(a.keys() | b.keys())
+
+
+def weighted(a, b):
+    """Probability Jaccard by its definition."""
+    a, b = ({k: n / sum(c.values()) for k, n in c.items()} for c in (a, b))
+    either = a.keys() | b.keys()
+    return sum(1 / sum(max(a.get(j, 0) / a[i], b.get(j, 0) / b[i]) for j in either) for i in a.keys() & b.keys())
 
 
 def brute(rows, limit=0.8):
@@ -24,7 +37,7 @@ def brute(rows, limit=0.8):
     sets = [(i, t, shingles(t)) for i, t in rows]
     for k, (i, t, s) in enumerate(sets):
         for j, u, v in sets[:k]:
-            if t == u or s and v and len(s & v) >= limit * len(s | v):
+            if t == u or s and v and (jaccard(s, v) >= limit or max([*s.values(), *v.values()]) > 1 and jaccard(s, v) > 0 and weighted(s, v) >= limit):
                 a, b = sorted((find(i), find(j)))
                 root[b] = a
     return sorted((i, find(i)) for i, _ in rows)
@@ -67,6 +80,51 @@ def test_repeats_do_not_hide_a_link(spark):
     assert run(spark, rows) == sorted(brute(rows), key=str)
 
 
+@pytest.fixture()
+def small_blocks(monkeypatch):
+    monkeypatch.setattr(probminhash, "BLOCK", 4)
+
+
+def test_groups_of_several_blocks(spark, small_blocks):
+    rng = random.Random(11)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    passage = [word() for _ in range(60)]
+    rows, base = [], [word() for _ in range(200)]
+    for _ in range(60):  # near copies, from a base that drifts away
+        base[rng.randrange(200)] = word()
+        rows.append(" ".join(base))
+    for _ in range(40):  # texts that share a passage meet without being similar
+        own = [word() for _ in range(20)]
+        rows += [" ".join(passage + own), " ".join(passage + own[:-1] + [word()])]
+    rng.shuffle(rows)
+    rows = [(i, t) for i, t in enumerate(rows)]
+    assert len({c for _, c in brute(rows)}) > 20
+    assert run(spark, rows) == sorted(brute(rows), key=str)
+
+
+def test_links_by_weight_alone(spark):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefg") for _ in range(6))
+    rows = []
+    for k in range(12):  # a repeated line outweighs what differs
+        line = " ".join(word() for _ in range(8))
+        for j in range(2):
+            rows.append((2 * k + j, " ".join([line] * rng.choice([30, 31, 40]) + [word() for _ in range(3 + 6 * k)])))
+    expected = brute(rows)
+    linked = [i for i, c in expected if i != c]
+    assert 3 < len(linked) < 12
+    assert any(jaccard(shingles(rows[i][1]), shingles(rows[i - 1][1])) < 0.8 for i in linked)
+    assert run(spark, rows) == sorted(expected, key=str)
+
+
+def test_probability_jaccard_by_its_definition():
+    rng = random.Random(13)
+    for _ in range(200):
+        a, b = (Counter(rng.randrange(12) for _ in range(rng.randrange(1, 40))) for _ in range(2))
+        pack = lambda c: (np.array(sorted(c), np.uint64), np.array([c[k] for k in sorted(c)], float))
+        assert abs(probminhash.probability_jaccard(*pack(a), *pack(b)) - weighted(a, b)) < 1e-9
+
+
 def test_edges(spark):
     same = "one two three four five six seven eight nine ten"
     rows = [(5, same), (3, same), (5, same), (7, None), (8, ""), (9, "  \n"), (11, "a b"), (12, "a  b"), (None, same), (None, None), (20, "q w e r t z u"), (20, same), (21, "q w e r t z u"), (30, "x " * 100_000)]

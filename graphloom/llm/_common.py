@@ -36,14 +36,23 @@ def shared_path(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/graphloom-{name}-{uuid.uuid4().hex}"
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Paths that each application has written and not deleted.
 _written: dict[str, set[str]] = {}
 
 
 def materialize(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
-    """Write ``df`` once to the shared folder and read it back: lineage ends there, so a lost executor costs a reread."""
-    path = shared_path(df.sparkSession, name)
-    df.write.option("compression", codec).parquet(path)
+    """Write ``df`` once to the shared folder and read it back: lineage ends there, so a lost executor costs a reread.
+
+    Its shuffle files go with the end of the write, as nothing reads them any more.
+    """
+    path, conf = shared_path(df.sparkSession, name), df.sparkSession.conf
+    before = conf.get(CLEANUP, None)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.option("compression", codec).parquet(path)
+    finally:
+        conf.unset(CLEANUP) if before is None else conf.set(CLEANUP, before)
     _written.setdefault(df.sparkSession.sparkContext.applicationId, set()).add(path)
     stored = df.sparkSession.read.schema(df.schema).parquet(path)
     stored.stored_at = path
@@ -69,7 +78,8 @@ def join_by_share(left: DataFrame, right: DataFrame, key: str, rows: str, total:
     """Inner join with ``right``, one row per key with the number ``rows`` of rows that ``left`` has of it, ``total`` in all.
 
     Keys with more than 1 / ``share`` of all rows would each fall to one task. There are fewer than ``share`` of
-    them, so their side is broadcast; the rows of all other keys are shuffled. ``right`` is read twice.
+    them, so their side is broadcast; the rows of all other keys are shuffled. ``right`` stands in the plan twice:
+    an aggregate shares its exchange.
     """
     heavy = right.filter(F.col(rows) * share > total)
     common = left.join(F.broadcast(heavy), key)

@@ -7,14 +7,19 @@ each bucket on counts that were held out: part of the training documents (the de
 predicted from the others' counts. Scores then use the counts of all training documents.
 
 Counts are exchanged in bulk. Documents are packed into chunks, written once. A chunk sends the sorted
-64-bit hashes of its distinct n-grams with its own counts, split by ranges of the hash; a range adds
-up the counts of all chunks and answers each chunk in the order of its hashes. So a chunk learns the
-corpus counts of its n-grams in one round trip, every n-gram travels once per chunk however often it
-occurs, and a very common one is no heavier than any other.
+hashes of its distinct words (64 bits) and longer n-grams (56 bits) with its own counts, split by ranges of
+the hash; a range adds up the counts of all chunks and answers each chunk in the order of its hashes. So
+a chunk learns the corpus counts of its n-grams in one round trip, every n-gram travels once per chunk
+however often it occurs, and a very common one is no heavier than any other. There are as many ranges as
+the text's size asks for, so a range's memory stays the same as the corpus grows; a row of the exchange holds at least
+one n-gram, so rows never outnumber the n-grams of the chunks.
+
+Of 10**12 distinct n-grams, one in 70,000 shares its hash with another, and their counts are added.
 """
 
 from __future__ import annotations
 
+import math
 import pickle
 from collections.abc import Iterator
 
@@ -27,13 +32,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import doc_text, materialize, trim_memory
+from graphloom.llm._common import doc_text, materialize, ship, trim_memory
 
-ORDER = 2
+ORDER = 3
 #: Text bytes of a chunk; a longer text is a chunk of its own.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 8_000_000
+#: Bytes that a range is sent, as far as they follow from the bytes of text: about SENT for each order and byte.
+RANGE_BYTES = 24_000_000
+SENT = 0.45
 #: Steps of the doubling scale on which estimates are gathered for expectation-maximisation.
-STEPS = 4
+STEPS = 2
 ROUNDS = 60
 #: Documents by crc32(id) mod 5: this remainder is never learned from ...
 HELD_OUT = 1
@@ -50,8 +58,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+#: Bits that the keys of n-grams of two or more words leave out; the last bit tells them from words.
+SHORT = np.uint64(8)
+
+
 def word_key(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word) | 1  # the last bit tells words from longer n-grams
+    return xxhash.xxh64_intdigest(word) | 1
 
 
 def squeeze(values: np.ndarray) -> bytes:
@@ -59,6 +71,10 @@ def squeeze(values: np.ndarray) -> bytes:
     return zstandard.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), 1)
 
 
+def gaps(keys: np.ndarray) -> bytes:
+    return squeeze(np.diff(keys, prepend=np.uint64(0)))
+
+
 def expand(packed: bytes, kind: type, count: int) -> np.ndarray:
     size = np.dtype(kind).itemsize
     planes = np.frombuffer(zstandard.decompress(packed, max_output_size=max(1, count * size)), np.uint8).reshape(size, count)
@@ -101,26 +117,35 @@ class Chunk:
         ending = hashes = word_keys[flat]
         for k in range(2, order + 1):
             earlier = np.concatenate((np.zeros(k - 1, np.uint64), hashes[: len(hashes) - k + 1]))
-            ending = mix(ending * GOLD + earlier) & ~ONE
+            ending = mix(ending * GOLD + earlier) >> SHORT << SHORT
             places = counted if k < order else self.tokens
             distinct, which = np.unique(ending[places], return_inverse=True)
             self.levels.append((places, distinct, which.astype(np.int32)))
 
-    def keys(self) -> np.ndarray:
-        """All distinct keys in order. Histories are n-grams themselves or begins."""
-        return np.sort(np.concatenate([self._met(k) for k in range(len(self.levels))]))
+    def keys(self) -> tuple[np.ndarray, np.ndarray]:
+        """All distinct keys in order: of words, and of longer n-grams. Histories are n-grams themselves or begins."""
+        longer = [keys for _, keys, _ in self.levels[1:]]
+        return np.sort(self._met()), np.sort(np.concatenate(longer)) if longer else np.empty(0, np.uint64)
 
-    def _met(self, level: int) -> np.ndarray:
-        """The keys of a level that stand somewhere: the begin and the end are known without that."""
-        places, keys, which = self.levels[level]
-        return keys if level else keys[np.bincount(which, minlength=len(keys)) > 0]
+    def _met(self) -> np.ndarray:
+        """The keys of words that stand somewhere: the begin and the end are known without that."""
+        _, keys, which = self.levels[0]
+        return keys[np.bincount(which, minlength=len(keys)) > 0]
 
-    def counts(self, keys: np.ndarray, of_doc: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(keys), np.int64)
-        for places, own, which in self.levels:
+    def places(self, words: np.ndarray, longer: np.ndarray) -> list[np.ndarray]:
+        """For each level, where its keys stand in the words' keys followed by the longer ones'."""
+        out = []
+        for level, (_, own, _) in enumerate(self.levels):
+            into, base = (longer, len(words)) if level else (words, 0)
+            out.append(base + np.minimum(np.searchsorted(into, own), max(len(into) - 1, 0)))
+        return out
+
+    def counts(self, words: np.ndarray, longer: np.ndarray, of_doc: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(words) + len(longer), np.int64)
+        for (places, own, which), into in zip(self.levels, self.places(words, longer)):
             number = np.bincount(which[of_doc[self.doc_of[places]]], minlength=len(own))
             held = np.flatnonzero(number)
-            total[np.searchsorted(keys, own[held])] += number[held]
+            total[into[held]] += number[held]
         return total
 
 
@@ -128,12 +153,12 @@ def pack(ids: list, folds: list[int], texts: list[bytes]) -> bytes:
     return zstandard.compress(pickle.dumps((ids, folds, texts), 5), 1)
 
 
-CHUNK = pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("packed", pa.binary())])
-SENT = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("kept", pa.binary()), ("cut", pa.binary()), ("deleted", pa.bool_())])
-ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("n", pa.int64()), ("kept", pa.binary()), ("whole", pa.binary()), *((f"{a}_{b}", pa.int64()) for a in ("kept", "whole") for b in ("tokens", "types"))])
-CHUNK_SQL = "chunk long, deleted boolean, packed binary"
-SENT_SQL = "chunk long, part int, n long, keys binary, kept binary, cut binary, deleted boolean"
-ANSWER_SQL = "chunk long, part int, n long, kept binary, whole binary, kept_tokens long, kept_types long, whole_tokens long, whole_types long"
+CHUNK = pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("size", pa.int64()), ("packed", pa.binary())])
+MESSAGE = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("words", pa.int64()), ("n", pa.int64()), ("word_keys", pa.binary()), ("keys", pa.binary()), ("counts", pa.binary()), ("deleted", pa.bool_())])
+ANSWER = pa.schema([("chunk", pa.int64()), ("part", pa.int32()), ("words", pa.int64()), ("n", pa.int64()), ("kept", pa.binary()), ("whole", pa.binary()), *((f"{a}_{b}", pa.int64()) for a in ("kept", "whole") for b in ("tokens", "types"))])
+CHUNK_SQL = "chunk long, deleted boolean, size long, packed binary"
+MESSAGE_SQL = "chunk long, part int, words long, n long, word_keys binary, keys binary, counts binary, deleted boolean"
+ANSWER_SQL = "chunk long, part int, words long, n long, kept binary, whole binary, kept_tokens long, kept_types long, whole_tokens long, whole_types long"
 
 
 def chunked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -146,7 +171,7 @@ def chunked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
         def close(deleted: bool) -> pa.RecordBatch:
             nonlocal number
-            out = pa.RecordBatch.from_pylist([{"chunk": base + number, "deleted": deleted, "packed": pack(*held[deleted])}], CHUNK)
+            out = pa.RecordBatch.from_pylist([{"chunk": base + number, "deleted": deleted, "size": size[deleted], "packed": pack(*held[deleted])}], CHUNK)
             number += 1
             held[deleted], size[deleted] = [[], [], []], 0
             return out
@@ -170,30 +195,33 @@ def chunked(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def sent(chunks: DataFrame, order: int, parts: int) -> DataFrame:
-    """Per chunk and range of hashes: the keys, and the chunk's counts in training (kept, or cut in the deleted fold)."""
+    """Per chunk and range of hashes: the keys of words and of longer n-grams, and the chunk's counts of them in training."""
+
+    def cuts(keys: np.ndarray, bits: int) -> list[int]:
+        part = (keys >> np.uint64(bits - 32)) * np.uint64(parts) >> np.uint64(32)
+        return np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64)).tolist()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 number, deleted, packed = (c[row].as_py() for c in batch.columns)
                 chunk = Chunk(packed, order)
-                keys = chunk.keys()
-                folds = np.array(chunk.folds)
-                counts = chunk.counts(keys, folds != HELD_OUT).astype(np.uint32)
-                part = (keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)
-                cuts = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
+                words, longer = chunk.keys()
+                counts = chunk.counts(words, longer, np.array(chunk.folds) != HELD_OUT).astype(np.uint32)
+                short = longer >> SHORT
+                a, b = cuts(words, 64), cuts(short, 56)
                 rows = []
-                for p, (a, b) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist())):
-                    if b > a:
-                        gaps = np.diff(keys[a:b], prepend=np.uint64(0))
-                        own = squeeze(counts[a:b])
-                        rows.append({"chunk": number, "part": p, "n": b - a, "keys": squeeze(gaps), "kept": None if deleted else own, "cut": own if deleted else None, "deleted": deleted})
-                del chunk, keys, part
-                if rows:
-                    yield pa.RecordBatch.from_pylist(rows, SENT)
+                for p in range(parts):
+                    own, grams = words[a[p] : a[p + 1]], short[b[p] : b[p + 1]]
+                    if len(own) or len(grams):
+                        counted = np.concatenate((counts[a[p] : a[p + 1]], counts[len(words) + b[p] : len(words) + b[p + 1]]))
+                        rows.append({"chunk": number, "part": p, "words": len(own), "n": len(own) + len(grams), "word_keys": gaps(own), "keys": gaps(grams), "counts": squeeze(counted), "deleted": deleted})
+                del chunk, words, longer, short
+                for at in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_pylist(rows[at : at + 1000], MESSAGE)
         trim_memory()
 
-    return chunks.mapInArrow(run, SENT_SQL)
+    return chunks.select("chunk", "deleted", "packed").mapInArrow(run, MESSAGE_SQL)
 
 
 def answered(sent_: DataFrame) -> DataFrame:
@@ -204,23 +232,25 @@ def answered(sent_: DataFrame) -> DataFrame:
 
     def run(group: pa.Table) -> pa.Table:
         rows = sorted(group.to_pylist(), key=lambda r: r["chunk"])
-        keys = [np.cumsum(expand(r["keys"], np.uint64, r["n"]), dtype=np.uint64) for r in rows]
+        known = lambda packed, n: np.cumsum(expand(packed, np.uint64, n), dtype=np.uint64)
+        keys = [np.concatenate((known(r["word_keys"], r["words"]), known(r["keys"], r["n"] - r["words"]) << SHORT)) for r in rows]
         distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
         bounds = np.cumsum([0, *(len(k) for k in keys)])
+        del keys
         kept, cut = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64)
         for k, r in enumerate(rows):  # the keys of a chunk are distinct
             into = cut if r["deleted"] else kept
-            into[place[bounds[k] : bounds[k + 1]]] += expand(r["cut"] if r["deleted"] else r["kept"], np.uint32, r["n"])
+            into[place[bounds[k] : bounds[k + 1]]] += expand(r["counts"], np.uint32, r["n"])
         whole = kept + cut
         words = ((distinct & ONE) == ONE) & (distinct != np.uint64(word_key(BEGIN)))
         out = []
         for k, r in enumerate(rows):
             own = place[bounds[k] : bounds[k + 1]]
-            row = {"chunk": r["chunk"], "part": r["part"], "n": r["n"], "kept": squeeze(kept[own]) if r["deleted"] else None, "whole": squeeze(whole[own])}
+            row = {"chunk": r["chunk"], "part": r["part"], "words": r["words"], "n": r["n"], "kept": squeeze(kept[own]) if r["deleted"] else None, "whole": squeeze(whole[own])}
             for name, c in (("kept", kept), ("whole", whole)):
                 row |= {f"{name}_tokens": int(c[words].sum()) if not k else 0, f"{name}_types": int((c[words] > 0).sum()) if not k else 0}
             out.append(row)
-        del keys, distinct, place
+        del distinct, place
         trim_memory()
         return pa.Table.from_pylist(out, ANSWER)
 
@@ -237,15 +267,19 @@ class Counted:
 
     def __init__(self, packed: bytes, answers: list[dict], column: str, order: int):
         self.chunk = Chunk(packed, order)
-        keys = self.chunk.keys()
-        answers = sorted(answers, key=lambda r: r["part"])
-        counts = np.concatenate([expand(r[column], np.int64, r["n"]) for r in answers]) if answers else np.empty(0, np.int64)
-        if len(counts) != len(keys):
-            raise ValueError(f"{len(counts)} answers for {len(keys)} keys")
+        words, longer = self.chunk.keys()
+        split: list[list[np.ndarray]] = [[], []]
+        for r in sorted(answers, key=lambda r: r["part"]):
+            found = expand(r[column], np.int64, r["n"])
+            split[0].append(found[: r["words"]])
+            split[1].append(found[r["words"] :])
+        counts = np.concatenate([*split[0], *split[1]]) if answers else np.empty(0, np.int64)
+        if sum(map(len, split[0])) != len(words) or len(counts) != len(words) + len(longer):
+            raise ValueError(f"{len(counts)} answers for {len(words)} words and {len(longer)} longer keys")
         self.grams, self.histories = [], []
         before: np.ndarray | None = None
-        for places, own, which in self.chunk.levels:
-            found = counts[np.minimum(np.searchsorted(keys, own), len(keys) - 1)][which] if len(keys) else np.empty(0, np.int64)
+        for (places, _, which), into in zip(self.chunk.levels, self.chunk.places(words, longer)):
+            found = counts[into][which] if len(which) else np.empty(0, np.int64)
             flat = np.zeros(self.chunk.size, np.int64)
             flat[places] = found
             self.grams.append(flat[self.chunk.tokens])
@@ -295,15 +329,17 @@ def score(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", order: in
 
     Null texts count as empty: one end token. A row with a null id has remainder 0, so it is learned from.
     Repeated rows are counted and scored as often as they occur; an empty table gives an empty result.
-    Words are split at ASCII white space, A-Z in lower case. Memory per task is bounded by a chunk or by
-    one range of hashes; there are as many ranges as ``spark.sql.shuffle.partitions``.
+    Words are split at ASCII white space, A-Z in lower case. Ids must be whole numbers of 64 bits. Memory per
+    task is bounded by a chunk (or the longest text) or by one range of hashes, of about ``RANGE_BYTES``.
     """
     spark = docs.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    ship(spark)
     chunks = materialize(chunked(docs, doc_id, text), "chunks")
+    size = chunks.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(size * SENT * order / RANGE_BYTES))
     answers = materialize(answered(sent(chunks, order, parts)), "answers")
     total = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("kept_tokens", "kept_types", "whole_tokens", "whole_types")]).first()
-    answers = answers.select("chunk", "part", "n", "kept", "whole")
+    answers = answers.select("chunk", "part", "words", "n", "kept", "whole")
 
     names = [f"q{k}" for k in range(1, order + 1)] + [f"s{k}" for k in range(1, order + 1)]
     seen = pa.schema([("bucket", pa.int64()), ("n", pa.float64()), *((c, pa.int64() if c[0] == "q" else pa.float64()) for c in names)])

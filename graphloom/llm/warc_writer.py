@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import join_by_share, materialize, shared_path, ship
+from graphloom.llm._common import join_by_share, shared_path, ship
 
 #: Compressed bytes after which a file is closed.
 ROLL_BYTES = 16_000_000
@@ -199,7 +199,7 @@ def prepared(pages: DataFrame, page_id: str, url: str, html: str, min_revisit_by
     rows = pages.select(F.col(f"`{page_id}`").cast("long").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"), payload.alias("payload"))
     known = rows.filter(F.octet_length("payload") >= min_revisit_bytes).select("page_id", "url", F.unhex(F.sha1("payload")).alias("digest"))
     # the response is the smallest (page id, url); of repeated rows of that page the writer takes one
-    first = materialize(known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "first")
+    first = known.groupBy("digest").agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     again = join_by_share(known, first, "digest", "n", rows.count()).filter(F.col("page_id").isNotNull() | F.col("first_id").isNotNull()).select("page_id", "digest", F.col("first_id").alias("refers_to")).distinct()
     blank = lambda kind, name: F.lit(None).cast(kind).alias(name)
     directives = again.select("page_id", blank("string", "url"), blank("binary", "payload"), F.lit(0).alias("kind"), "refers_to", "digest")

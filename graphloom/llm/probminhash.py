@@ -41,7 +41,7 @@ SIMILARITY = 0.8
 BANDS = 25
 ROWS = 5
 #: Texts and shingles of a block, on average.
-BLOCK = 512
+BLOCK = 256
 BLOCK_SHINGLES = 1_000_000
 #: Columns of the incidence matrix that are multiplied at a time.
 COLUMNS = 4096

@@ -5,6 +5,8 @@ A bad argument raises ``ValueError``; an unknown entity gives empty frames.
 
 from __future__ import annotations
 
+import secrets
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -43,6 +45,35 @@ def names_of(value: str | None) -> tuple[str, ...]:
     return tuple(n for part in (value or "").split(",") if (n := part.strip()))
 
 
+def ok(data: object) -> dict[str, object]:
+    return {"code": 200, "message": "success", "data": data}
+
+
+def fail(message: str, code: int = 400) -> dict[str, object]:
+    return {"code": code, "message": message, "data": None}
+
+
+def answer(call: Callable[..., object], *args: object, **named: object) -> dict[str, object]:
+    """What a service sends back: the result of the call, or why its arguments were refused."""
+    try:
+        return ok(call(*args, **named))
+    except ValueError as e:
+        return fail(str(e))
+
+
+def register_user(users_: DataFrame, username: object, password: object, role: object, preferences: object = ()) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fresh users, preferences, outcome) of one request, to be appended by the caller; see ``register_with_preferences``."""
+    if not isinstance(preferences, (list, tuple)):
+        raise ValueError("preferences must be an array")
+    row = (text_of(username, "username"), text_of(password, "password"), text_of(role, "role"), secrets.token_hex(16), [str(p) for p in preferences])
+    request = users_.sparkSession.createDataFrame([row], "username string, password string, role string, salt string, preferences array<string>")
+    return users.register_with_preferences(users_, request)
+
+
+def login_user(users_: DataFrame, preferences: DataFrame, username: object, password: object) -> DataFrame:
+    return users.login(users_, preferences, text_of(username, "username"), text_of(password, "password"))
+
+
 @dataclass(frozen=True)
 class Engine:
     """The graph behind a service."""
@@ -70,6 +101,7 @@ class Engine:
         return self._shown(graph.one_hop(self.vertices, self.edges, self.schema.labels, entity, exclude=names_of(exclude)), entity, "other")
 
     def _shown(self, rows: DataFrame, name: str, column: str) -> tuple[DataFrame, DataFrame]:
+        rows = graph.small(rows, graph.ROWS_MULTI_HOP + 1)
         nodes = graph.nodes_of(rows, self.vertices, self.schema.labels, name, column)
         edges = graph.edges_of(rows, self.edges)
         sizes = graph.degree_sizes(nodes, edges).select("node_id", "size")

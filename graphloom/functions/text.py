@@ -68,8 +68,8 @@ def strip(text: F.Column, chars: str) -> F.Column:
 def term_name(text: F.Column) -> F.Column:
     """A candidate term without brackets, marks, one lead-in and one ending (each once, so not idempotent)."""
     name = F.regexp_replace(F.regexp_replace(clean_text(text), r"^[（(【\[]+", ""), r"[）)】\]]+$", "")
-    name = F.regexp_replace(strip(name, TERM_EDGES), f"^(?:{'|'.join(TERM_LEADS)})", "")
-    return strip(F.regexp_replace(name, f"(?:{'|'.join(TERM_ENDS)})$", ""), TERM_EDGES)
+    name = F.regexp_replace(strip(name, TERM_EDGES), TERM_LEADS, "")
+    return strip(F.regexp_replace(name, TERM_ENDS, ""), TERM_EDGES)
 
 
 def node_name(text: F.Column, label: F.Column, normal_form=nfkc) -> F.Column:
@@ -80,9 +80,9 @@ def node_name(text: F.Column, label: F.Column, normal_form=nfkc) -> F.Column:
         return strip(F.regexp_replace(F.regexp_replace(t, r"[\u0000-\u001f\u007f]", ""), r"[\s 　 -   ]+", ""), NAME_EDGES)
 
     def by_label(name: F.Column) -> F.Column:
-        symptom = F.regexp_replace(name, f"^(?:{'|'.join(SYMPTOM_LEADS)})+", "")
+        symptom = F.regexp_replace(name, SYMPTOM_LEADS, "")
         symptom = F.regexp_replace(F.regexp_replace(symptom, "(?:等症状)$", ""), "(?:症状)$", "")
-        drug = F.regexp_replace(name, f"^(?:{'|'.join(DRUG_LEADS)})", "")
+        drug = F.regexp_replace(name, DRUG_LEADS, "")
         exam = F.regexp_replace(F.regexp_replace(name, "等检查$", ""), "等检测$", "")
         return tidy(F.when(label == "Symptom", symptom).when(label == "Drug", drug).when(label == "Examination", exam).otherwise(name))
 
@@ -92,21 +92,20 @@ def node_name(text: F.Column, label: F.Column, normal_form=nfkc) -> F.Column:
 
 # Lead-ins and endings of terms and lists, in order.
 TERM_EDGES = " ：:，,。；;、"
-TERM_LEADS = "如 例如 比如 包括 主要包括 常见 主要 可 会 需 应 的 发生".split()
-TERM_ENDS = "等 等等 为主 之一 相关".split()
-LIST_LEADS = "包括 主要包括 有 为 如 例如 可见 可有 可出现 会出现 表现为 主要表现为 症状为 特征为".split()
-LIST_MARKS = "、，,；;/|"
-LIST_WORDS = "以及 或者 或 和 与".split()
+TERM_LEADS = "^(?:如|例如|比如|包括|主要包括|常见|主要|可|会|需|应|的|发生)"
+TERM_ENDS = "(?:等|等等|为主|之一|相关)$"
+LIST_LEADS = "^(?:包括|主要包括|有|为|如|例如|可见|可有|可出现|会出现|表现为|主要表现为|症状为|特征为)[:：]?"
+LIST_CUT = "[、，,；;/|]|以及|或者|或|和|与"
 # Lead-ins of names, in order.
-SYMPTOM_LEADS = "是以 常常伴发 并伴有 伴有 伴随 伴 可出现 出现 表现为 主要表现为 严重时可出现 严重的 严重 明显 轻度 中度 重度 中重度 持续性 阵发性 反复 发作性的 发作的 亦可 为 即 呈 但".split()
-DRUG_LEADS = "即 予 服用 使用 应用 给予 注射 吸入 口服 静脉 外用".split()
+SYMPTOM_LEADS = "^(?:是以|常常伴发|并伴有|伴有|伴随|伴|可出现|出现|表现为|主要表现为|严重时可出现|严重的|严重|明显|轻度|中度|重度|中重度|持续性|阵发性|反复|发作性的|发作的|亦可|为|即|呈|但)+"
+DRUG_LEADS = "^(?:即|予|服用|使用|应用|给予|注射|吸入|口服|静脉|外用)"
 
 
 def split_terms(text: F.Column, limit: int = 24, name=term_name) -> F.Column:
     """Distinct list items before the first end mark: lead-in and numbering dropped, candidates only, in order."""
     head = F.element_at(F.split(name(text), f"[{SENTENCE_END}]", 2), 1)
-    head = F.regexp_replace(head, f"^(?:{'|'.join(LIST_LEADS)})[:：]?", "")
-    items = F.transform(F.split(head, f"[{LIST_MARKS}]|{'|'.join(LIST_WORDS)}", -1), lambda p: F.regexp_replace(F.regexp_replace(name(p), r"^[0-9]+[.、]", ""), r"^[一二三四五六七八九十]+[、.]", ""))
+    head = F.regexp_replace(head, LIST_LEADS, "")
+    items = F.transform(F.split(head, LIST_CUT, -1), lambda p: F.regexp_replace(F.regexp_replace(name(p), r"^[0-9]+[.、]", ""), r"^[一二三四五六七八九十]+[、.]", ""))
     return F.array_distinct(F.filter(items, lambda p: is_candidate(name(p), limit)))
 
 

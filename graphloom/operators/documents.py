@@ -74,12 +74,19 @@ def content_check(sections: F.Column, text: F.Column, source: F.Column, least: i
     return F.struct(((source == "html") & ((filled > 0) | (size >= least))).alias("has_full_content"), filled.alias("section_count"), size.alias("full_text_length"), F.lit(least).alias("min_full_text_length"))
 
 
-def scan(raw: DataFrame, keyword: str | None = None, limit: int = 0) -> DataFrame:
-    """Raw rows of a keyword (all without one), by keyword and newest first; limit 0 means all."""
-    rows = raw if keyword is None else raw.filter(F.col("keyword") == keyword)
-    if limit:
-        return rows.orderBy(F.asc("keyword"), F.desc("updated_at")).limit(limit)
-    return rows
+def scan(raw: DataFrame, keyword: str | None = None, limit: int = 0, tie: str = "_id") -> DataFrame:
+    """Raw rows of a keyword (all without one), by keyword and newest first, ties by ``tie``; limit 0 means all."""
+    rows = raw if not keyword else raw.filter(F.col("keyword") == keyword)
+    ordered = rows.orderBy(F.asc("keyword"), F.desc("updated_at"), F.asc(tie))
+    return ordered.limit(limit) if limit > 0 else ordered
+
+
+def scan_cleaned(cleaned: DataFrame, keyword: str | None = None, limit: int = 0) -> DataFrame:
+    """Cleaned rows with a document id, of a keyword or title, in the order of ``scan``."""
+    rows = cleaned.filter((F.col("status") == "cleaned") & F.col("doc_id").isNotNull())
+    if keyword:
+        rows = rows.filter((F.col("keyword") == keyword) | (F.col("title") == keyword))
+    return scan(rows, None, limit, "doc_id")
 
 
 def upsert(target: DataFrame, fresh: DataFrame, key: tuple[str, ...], by: str) -> DataFrame:
@@ -87,6 +94,31 @@ def upsert(target: DataFrame, fresh: DataFrame, key: tuple[str, ...], by: str) -
     return latest(target.unionByName(fresh), key, by)
 
 
+def upsert_cleaned(target: DataFrame, fresh: DataFrame) -> DataFrame:
+    """``target`` after cleaned rows are merged in: a row replaces that of its document id, and those without an
+    id of its source and keyword.
+
+    Two equi joins, as a join on either key could not be hashed. Of fresh rows of one id the last by
+    (updated_at, raw_id) wins.
+    """
+    newest = fresh.groupBy("doc_id").agg(F.max_by(F.struct(*fresh.columns), F.struct("updated_at", "raw_id")).alias("r")).select("r.*")
+    other = newest.filter((F.col("source") != "") & (F.col("keyword") != "")).select("source", "keyword").distinct()
+    named = F.coalesce("doc_id", F.lit("")) != ""
+    by_id = target.filter(named).join(newest.select("doc_id"), "doc_id", "left_anti").select(*fresh.columns)
+    by_name = target.filter(~named).join(other, ["source", "keyword"], "left_anti").select(*fresh.columns)
+    return by_id.unionByName(by_name).unionByName(newest.select(*fresh.columns))
+
+
+def accepted(documents: DataFrame) -> DataFrame:
+    """Documents whose content check found their full content."""
+    return documents.filter(F.col("content_check.has_full_content"))
+
+
+def section_chars(sections: F.Column) -> F.Column:
+    """Characters of content in all sections."""
+    return F.aggregate(sections, F.lit(0).cast("long"), lambda n, s: n + F.length(F.coalesce(s["content"], F.lit(""))))
+
+
 def report(outcomes: DataFrame, run_id: str, dry_run: bool, source: str, target: str) -> DataFrame:
     """One row for a run over outcomes(raw_id, keyword, outcome, error): counts, and the first failures by raw id."""
     failed = F.when(F.col("outcome") == "failed", F.struct("raw_id", "keyword", "error"))

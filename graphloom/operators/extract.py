@@ -68,8 +68,38 @@ def balanced(text: Column) -> Column:
     return (count("（") == count("）")) & (count("(") == count(")"))
 
 
+#: Words that a tagger knows as names, from the vocabularies.
+DICTIONARY = [*lx.RECALL_DRUGS, *lx.RECALL_EXAMS, *lx.RECALL_TREATMENTS, *lx.RECALL_SYMPTOMS, *lx.RECALL_DISEASES]
+TAGGED = "array<struct<word:string,flag:string>>"
+
+
+def tagged(text: Column, dictionary: list[str] = DICTIONARY) -> Column:
+    """Words with flags, from left to right: the longest name of the dictionary (n), a run of letters and digits (eng), or
+    one other character (x); white space is left out. The part of speech of other words needs a model that isn't installed.
+    """
+    names = sorted(dict.fromkeys(dictionary), key=lambda t: (-len(t), t))
+    known = "|".join("\\Q" + t + "\\E" for t in names)
+    words = F.regexp_extract_all(text, F.lit(f"{known}|[A-Za-z0-9]+|\\S"), F.lit(0))
+    flag = lambda w: F.when(w.isin(*names), "n").when(w.rlike("^[A-Za-z0-9]"), "eng").otherwise("x")
+    return F.transform(words, lambda w: F.struct(w.alias("word"), flag(w).alias("flag"))).cast(TAGGED)
+
+
+def lexical_candidates(text: Column, limit: int, dictionary: list[str] = DICTIONARY) -> Column:
+    """Distinct nouns and verbs of the tagged text that can be terms, in order."""
+    words = F.filter(tagged(text, dictionary), lambda t: t["flag"].rlike("^[nv]"))
+    terms = F.transform(words, lambda t: tx.term_name(t["word"]))
+    return F.array_distinct(F.filter(terms, lambda t: tx.is_candidate(tx.term_name(t), limit)))
+
+
+def hashed_embedding(text: Column, size: int = 64) -> Column:
+    """A vector of counts of letter pairs, by the sum of their code points: needs no model and no Python."""
+    pairs = F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - 1, F.lit(1))), lambda i: F.pmod(F.ascii(F.substr(text, i, F.lit(1))) * 31 + F.ascii(F.substr(text, i + 1, F.lit(1))), F.lit(size)))
+    return tx.let(pairs, lambda p: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.size(F.filter(p, lambda x: x == b)).cast("double")))
+
+
 def symptom_terms(s: Column) -> Column:
-    return F.concat(known_terms(s, lx.RECALL_SYMPTOMS), F.coalesce(tx.split_terms(tx.after_marker(s, lx.RECALL_LIST_MARKERS), 14), F.array().cast("array<string>")))
+    listed = F.coalesce(tx.split_terms(tx.after_marker(s, lx.RECALL_LIST_MARKERS), 14), F.array().cast("array<string>"))
+    return F.concat(known_terms(s, lx.RECALL_SYMPTOMS), listed, F.filter(lexical_candidates(s, 12), symptom_like))
 
 
 def symptom_like(t: Column) -> Column:

@@ -1,8 +1,10 @@
 """Queries over a property graph: vertices(node_id, name, label, category, description) and
 edges(edge_id, src, dst, rel_type, source_doc_id, evidence, confidence, section).
 
-Each function builds one lazy plan. A centre is a single row, so it is broadcast; the edges are never
-doubled as a whole: each direction is scanned with the centre (or frontier) joined in first.
+The edges are never doubled as a whole: each direction is scanned for the nodes wanted. A centre or a frontier
+of up to ``FRONTIER`` nodes is brought to the driver and becomes a filter on literals, which Catalyst moves below
+a deduplication of the edges and to their scans; a larger frontier stays a plan and is semi-joined. The rows of a
+limited neighbourhood (at most ``ROWS_MULTI_HOP``) can be brought to the driver by ``small``, once for all their uses.
 """
 
 from __future__ import annotations
@@ -14,6 +16,8 @@ ROWS_ONE_HOP = 200
 ROWS_MULTI_HOP = 300
 MAX_DEPTH = 3
 SUGGESTIONS = 20
+#: Nodes that may travel by way of the driver.
+FRONTIER = 5_000
 
 
 def labelled(vertices: DataFrame, labels: tuple[str, ...], category: int | None = None) -> DataFrame:
@@ -40,13 +44,28 @@ def centre(vertices: DataFrame, labels: tuple[str, ...], name: str) -> DataFrame
     return labelled(vertices.filter(F.col("name") == name), labels).orderBy("category", "node_id").limit(1)
 
 
+def small(frame: DataFrame, limit: int) -> DataFrame:
+    """``frame`` as literal rows if it has at most ``limit`` of them; else as it is."""
+    rows = frame.limit(limit + 1).toArrow()
+    return frame.sparkSession.createDataFrame(rows) if rows.num_rows <= limit else frame
+
+
+def touching(edges: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
+    """Edges whose ``column`` is among ``nodes`` (node, ...)."""
+    wanted = nodes.select("node").distinct()
+    ids = [r.node for r in wanted.limit(FRONTIER + 1).collect()]
+    if len(ids) <= FRONTIER:
+        return edges.filter(F.col(column).isin(ids))
+    return edges.join(wanted.withColumnRenamed("node", column), column, "left_semi")
+
+
 def incident(edges: DataFrame, frontier: DataFrame) -> DataFrame:
     """Edges at the nodes of ``frontier`` (node, ...): its columns, the edge and the node at the other end.
 
     Two joins, one per direction, so that each can use the small side and its filters. A loop counts once.
     """
-    out = frontier.join(edges, F.col("node") == F.col("src")).withColumn("other", F.col("dst"))
-    back = frontier.join(edges.filter("src != dst"), F.col("node") == F.col("dst")).withColumn("other", F.col("src"))
+    out = frontier.join(touching(edges, "src", frontier), F.col("node") == F.col("src")).withColumn("other", F.col("dst"))
+    back = frontier.join(touching(edges, "dst", frontier).filter("src != dst"), F.col("node") == F.col("dst")).withColumn("other", F.col("src"))
     return out.unionByName(back)
 
 
@@ -56,7 +75,7 @@ def one_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], name
     The filters stand on the neighbour's side of an outer join, so a centre without neighbours stays as one
     row with null edge.
     """
-    start = centre(vertices, labels, name).select(F.col("node_id").alias("node"))
+    start = small(centre(vertices, labels, name).select(F.col("node_id").alias("node")), 1)
     # an empty list is replaced by one empty name, as the request does
     near = labelled(vertices, labels, category).filter(~F.col("name").isin(*(exclude or ("",))))
     links = incident(edges, start).join(near.select(F.col("node_id").alias("other"), F.col("name").alias("neighbor")), "other")
@@ -67,21 +86,31 @@ def one_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], name
 def multi_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], name: str, depth: int, category: int | None = None, limit: int = ROWS_MULTI_HOP) -> DataFrame:
     """Rows (end node of a path, edge of the path) over undirected paths of 1 to ``depth`` edges that use no
     edge twice; the category holds for the end node only. The first ``limit`` by hop, end name, path and edge.
+
+    Shorter paths come first, so the search ends at the hop that fills the limit.
     """
     depth = max(1, min(depth, MAX_DEPTH))
-    start = centre(vertices, labels, name).select(F.col("node_id").alias("node"))
-    paths = start.select("node", F.array().cast("array<string>").alias("path"))
+    start = small(centre(vertices, labels, name).select(F.col("node_id").alias("node")), 1)
+    paths = start.select("node", F.array().cast("array<string>").alias("path"), F.array().cast("array<string>").alias("tails"))
+    wanted = labelled(vertices, labels, category).select(F.col("node_id").alias("node"), F.col("name").alias("end_name"))
     slim = edges.select("edge_id", "src", "dst")
-    every: DataFrame | None = None
+    order = ("hop", "end_name", "path_id")
+    least: DataFrame | None = None
     for hop in range(1, depth + 1):
-        paths = incident(slim, paths).filter(~F.array_contains("path", F.col("edge_id"))).select(F.col("other").alias("node"), F.concat("path", F.array("edge_id")).alias("path"))
-        step = paths.select("node", "path", F.lit(hop).alias("hop"))
-        every = step if every is None else every.unionByName(step)
-    ends = every.join(labelled(vertices, labels, category).select(F.col("node_id").alias("node"), F.col("name").alias("end_name")), "node")
-    # a path has a row for each of its edges; the least paths cover the limit, so only they are taken apart
-    least = ends.orderBy("hop", "end_name", F.concat_ws("/", "path")).limit(limit)
-    rows = least.select("node", "hop", "end_name", F.concat_ws("/", "path").alias("path_id"), F.posexplode("path").alias("at", "edge_id"))
-    return rows.orderBy("hop", "end_name", "path_id", "at").limit(limit)
+        # all paths to a node go on by the same edges: these are looked up once per node
+        nodes = small(paths.select("node").distinct(), FRONTIER)
+        steps = incident(slim, nodes).select("node", "edge_id", "src", "other")
+        paths = paths.join(steps, "node").filter(~F.array_contains("path", F.col("edge_id")))
+        paths = paths.select(F.col("other").alias("node"), F.concat("path", F.array("edge_id")).alias("path"), F.concat("tails", F.array("src")).alias("tails"))
+        ends = paths.join(wanted, "node").select("node", "path", "tails", F.lit(hop).alias("hop"), "end_name", F.concat_ws("/", "path").alias("path_id"))
+        # a path has a row for each of its edges; the least paths cover the limit, so only they are taken apart
+        own = small(ends.orderBy(*order).limit(limit), limit)
+        least = own if least is None else least.unionByName(own)
+        if least.count() >= limit:
+            break
+    rows = least.orderBy(*order).limit(limit).select("node", "hop", "end_name", "path_id", "tails", F.posexplode("path").alias("at", "edge_id"))
+    rows = rows.select("node", "hop", "end_name", "path_id", "at", "edge_id", F.get("tails", F.col("at")).alias("src"))
+    return small(rows.orderBy(*order, "at").limit(limit), limit)
 
 
 def nodes_of(rows: DataFrame, vertices: DataFrame, labels: tuple[str, ...], name: str, column: str) -> DataFrame:
@@ -91,7 +120,10 @@ def nodes_of(rows: DataFrame, vertices: DataFrame, labels: tuple[str, ...], name
 
 
 def edges_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
+    """The edges of a neighbourhood. Edge ids say nothing of where an edge is stored, so rows with both ends narrow the scan."""
     ids = rows.select("edge_id").filter("edge_id is not null").distinct()
+    if "src" in rows.columns:
+        edges = touching(edges, "src", rows.select(F.col("src").alias("node")).filter("node is not null"))
     return edges.join(ids, "edge_id", "left_semi")
 
 
@@ -126,18 +158,20 @@ def typed_lookup(vertices: DataFrame, edges: DataFrame, rel_type: str, name: str
     here, there = ("dst", "src") if reverse else ("src", "dst")
     start = vertices.filter((F.col("name") == name) & (F.col("label") == (to_label if reverse else from_label))).select(F.col("node_id").alias(here))
     far = vertices.filter(F.col("label") == (from_label if reverse else to_label)).select(F.col("node_id").alias(there), F.col("name").alias("found"))
-    return edges.filter(F.col("rel_type") == rel_type).join(start, here).join(far, there).select(F.col("found").alias("name"))
+    near = touching(edges.filter(F.col("rel_type") == rel_type), here, start.select(F.col(here).alias("node")))
+    return near.join(start, here).join(far, there).select(F.col("found").alias("name"))
 
 
 def full_info(vertices: DataFrame, edges: DataFrame, name: str, label: str, wanted: dict[str, tuple[str, str]]) -> DataFrame:
     """One row per entity of that name and label: for each output column the sorted distinct names over its
     (relation type, direction). One pass over the edges, so the branches don't multiply.
     """
-    start = vertices.filter((F.col("name") == name) & (F.col("label") == label)).select(F.col("node_id").alias("node"), F.col("name").alias("center"))
+    start = small(vertices.filter((F.col("name") == name) & (F.col("label") == label)).select(F.col("node_id").alias("node"), F.col("name").alias("center")), FRONTIER)
     types = [t for t, _ in wanted.values()]
     slim = edges.filter(F.col("rel_type").isin(*types)).select("edge_id", "src", "dst", "rel_type")
-    out = start.join(slim, F.col("node") == F.col("src")).select("node", "rel_type", F.lit("out").alias("way"), F.col("dst").alias("other"))
-    back = start.join(slim, F.col("node") == F.col("dst")).select("node", "rel_type", F.lit("in").alias("way"), F.col("src").alias("other"))
+    leaving, entering = touching(slim, "src", start), touching(slim, "dst", start)
+    out = start.join(leaving, F.col("node") == F.col("src")).select("node", "rel_type", F.lit("out").alias("way"), F.col("dst").alias("other"))
+    back = start.join(entering, F.col("node") == F.col("dst")).select("node", "rel_type", F.lit("in").alias("way"), F.col("src").alias("other"))
     found = out.union(back).join(vertices.select(F.col("node_id").alias("other"), F.col("name").alias("found")), "other")
     pick = lambda t, way: F.when((F.col("rel_type") == t) & (F.col("way") == way), F.col("found"))
     whole = start.join(found.select("node", "rel_type", "way", "found"), "node", "left").groupBy("node", "center")
@@ -146,7 +180,7 @@ def full_info(vertices: DataFrame, edges: DataFrame, name: str, label: str, want
 
 def aggregated_relation(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], name: str, types: tuple[str, ...], separator: str = "；") -> DataFrame:
     """Names of all neighbours over the relation types in either direction, joined in order; duplicates stay; empty if none."""
-    start = centre(vertices, labels, name).select(F.col("node_id").alias("node"))
+    start = small(centre(vertices, labels, name).select(F.col("node_id").alias("node")), 1)
     slim = edges.filter(F.col("rel_type").isin(*types)).select("edge_id", "src", "dst")
     found = incident(slim, start).join(labelled(vertices, labels).select(F.col("node_id").alias("other"), "name"), "other")
     return found.agg(F.concat_ws(separator, F.array_sort(F.collect_list("name"))).alias("joined"))

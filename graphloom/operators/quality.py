@@ -7,6 +7,7 @@ and the graph schema are arguments; those of the medical graph are the defaults.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -25,8 +26,8 @@ MEANINGFUL = "[\\u4e00-\\u9fffA-Za-z]"
 SYMPTOM_PHRASES = "时有 劳动 体力 诊治 甚至".split()
 SYMPTOM_FOREIGN = "治疗 检查 诊断 药 疾病 患者".split()
 DISEASE_FOREIGN = "症状 检查 治疗 药物 患者".split()
-DRUG_OPENINGS = "L时 中度 也 仍 以 但 低剂量 作为 使 可 应 要 还应 对 不 严 则 在 同时 只 单凭 属 尽早 尚无 合适 合理 含量 因 当以".split()
-EXAM_OPENINGS = "与 为 不 中国 临床 人工智能 也有 之前 U指 仅 以 作为 依据 做 全面 其中 其他 具体 典型 在 基于 发病 凡 另外 含量 因此 完善 定期 对 必要 慢性 整个 无 最 能 考虑 属于 该 这类 须".split()
+DRUG_OPENINGS = "^(?:L时|中度|也|仍|以|但|低剂量|作为|使|可|应|要|还应|对|不|严|则|在|同时|只|单凭|属|尽早|尚无|合适|合理|含量|因|当以)"
+EXAM_OPENINGS = "^(?:与|为|不|中国|临床|人工智能|也有|之前|U指|仅|以|作为|依据|做|全面|其中|其他|具体|典型|在|基于|发病|凡|另外|含量|因此|完善|定期|对|必要|慢性|整个|无|最|能|考虑|属于|该|这类|须)"
 DRUG_JOINTS, EXAM_JOINTS = "与 和 或 等 及".split(), "以及 和 及 或 等".split()
 
 
@@ -92,7 +93,7 @@ def drug_rule(n: Column) -> Column:
     return ladder(
         ("drug_name_too_long", F.length(n) > 20),
         (passes(), n.isin(*lx.STRICT_DRUGS)),
-        ("drug_phrase_prefix", n.rlike(f"^(?:{'|'.join(DRUG_OPENINGS)})")),
+        ("drug_phrase_prefix", n.rlike(DRUG_OPENINGS)),
         ("drug_abbreviation_without_class", n.rlike(r"^[A-Za-z0-9βα+\-/]+$")),
         ("compound_or_sentence_fragment", has_any(n, DRUG_JOINTS)),
         ("drug_phrase_with_de", F.contains(n, F.lit("的"))),
@@ -104,7 +105,7 @@ def exam_rule(n: Column) -> Column:
     return ladder(
         ("exam_name_too_long", F.length(n) > 24),
         (passes(), n.isin(*lx.STRICT_EXAMS)),
-        ("exam_phrase_prefix", n.rlike(f"^(?:{'|'.join(EXAM_OPENINGS)})")),
+        ("exam_phrase_prefix", n.rlike(EXAM_OPENINGS)),
         ("exam_phrase_with_de", F.contains(n, F.lit("的"))),
         ("time_expression", n.rlike(r"(?U)\d+\s*年")),
         ("compound_exam", has_any(n, EXAM_JOINTS)),
@@ -220,10 +221,61 @@ def prune_rejects(pruned: DataFrame) -> DataFrame:
     return rejects(pruned, item_type=F.lit("node"), reason=F.lit("unreferenced_after_relationship_filter"), id=F.col("node_id"), name=F.col("name"), type=F.col("label"), source_doc_id=F.concat_ws(";", "docs"))
 
 
-def summary(**counts: DataFrame) -> DataFrame:
-    """(metric, value) rows from one-row frames with a column n."""
-    rows = [frame.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("metric"), F.col("n").alias("value")) for name, frame in counts.items()]
-    return reduce(DataFrame.unionByName, rows)
+def good_edges(judged: DataFrame) -> DataFrame:
+    """Accepted edges with their clean ends, before equal ones are merged."""
+    return judged.filter("reason is null").select(F.col("new_src").alias("src"), F.col("new_dst").alias("dst"), "rel_type", "source_doc_id")
+
+
+@dataclass(frozen=True)
+class Outputs:
+    """What the stage gives: clean nodes and edges, every rejected row with its reason, and counts."""
+
+    nodes: DataFrame
+    edges: DataFrame
+    rejects: DataFrame
+    summary: DataFrame
+
+
+def postprocess(judged_nodes: DataFrame, judged_edges: DataFrame, keep_label: str) -> Outputs:
+    """The four outputs from judged nodes and edges.
+
+    Nodes without an edge are pruned, but for those of ``keep_label``. An accepted edge's ends are accepted nodes
+    and have an edge, so no clean edge loses an end, and pruning needs the ends only, not the merged edges.
+    """
+    merged, good = clean_nodes(judged_nodes), good_edges(judged_edges)
+    kept, pruned = prune(merged, good, keep_label)
+    rejected = node_rejects(judged_nodes).unionByName(edge_rejects(judged_edges)).unionByName(prune_rejects(pruned))
+    return Outputs(kept, clean_edges(judged_edges), rejected, summary(judged_nodes, judged_edges, keep_label))
+
+
+def summary(judged_nodes: DataFrame, judged_edges: DataFrame, keep_label: str) -> DataFrame:
+    """(metric, value): rows in, kept, rejected (pruned nodes among them) and merged into equal ones, so that each sum comes out.
+
+    One pass over the nodes and one over the edges: an edge's own row counts it, and its merged form gives its ends.
+    """
+    bad = F.count_if(F.col("reason").isNotNull())
+    nodes = judged_nodes.agg(F.count(F.lit(1)).alias("in_nodes"), bad.alias("bad_nodes"))
+    edges = judged_edges.agg(F.count(F.lit(1)).alias("in_edges"), bad.alias("bad_edges"))
+    distinct = good_edges(judged_edges).distinct()
+    ends = referenced(distinct).withColumn("used", F.lit(True))
+    clean = judged_nodes.filter("reason is null").select(F.col("clean_id").alias("node_id"), "label").distinct()
+    marked = clean.join(ends, "node_id", "left").withColumn("keep", (F.col("label") == keep_label) | F.coalesce("used", F.lit(False)))
+    counts = marked.agg(F.count_if("keep").alias("kept_nodes"), F.count_if(~F.col("keep")).alias("pruned"))
+    merged = distinct.agg(F.count(F.lit(1)).alias("kept_edges"))
+    row = nodes.crossJoin(F.broadcast(edges)).crossJoin(F.broadcast(counts)).crossJoin(F.broadcast(merged))  # one row each
+    c = F.col
+    values = {
+        "input_nodes": c("in_nodes"),
+        "kept_nodes": c("kept_nodes"),
+        "rejected_nodes": c("bad_nodes") + c("pruned"),
+        "merged_nodes": c("in_nodes") - c("bad_nodes") - c("kept_nodes") - c("pruned"),
+        "input_relationships": c("in_edges"),
+        "kept_relationships": c("kept_edges"),
+        "rejected_relationships": c("bad_edges"),
+        "merged_relationships": c("in_edges") - c("bad_edges") - c("kept_edges"),
+        "total_rejected_rows": c("bad_nodes") + c("pruned") + c("bad_edges"),
+    }
+    return row.select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), v.alias("value")) for k, v in values.items()])).alias("m")).select("m.*")
 
 
 def import_nodes(rows: DataFrame, schema: GraphSchema) -> DataFrame:

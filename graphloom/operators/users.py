@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 PREFERENCES = 3
+TAKEN, REGISTERED = "username is taken", "registered"
 FIRST_ITEM = 501
 
 
@@ -22,6 +23,26 @@ def register(users: DataFrame, requests: DataFrame) -> DataFrame:
     return first.select("username", hashed(F.col("r.password"), F.col("r.salt")).alias("password_hash"), F.col("r.salt").alias("salt"), F.col("r.role").alias("role"))
 
 
+def create_tables(spark: SparkSession, database: str = "default") -> None:
+    """The tables of users and preferences, where they don't exist."""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.users (username STRING, password_hash STRING, salt STRING, role STRING, created_at TIMESTAMP) USING parquet")
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {database}.user_preferences (username STRING, id INT, preference STRING) USING parquet")
+
+
+def register_with_preferences(users: DataFrame, requests: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(fresh users, their preferences, outcome per request) of requests(username, password, role, salt, preferences array).
+
+    The outcome tells which request of a name won: of equal names the one that ``register`` takes. A table can be
+    appended to with the users first: preferences of a name that was lost to another are never written.
+    """
+    fresh = register(users, requests.drop("preferences"))
+    first = requests.groupBy("username").agg(F.min(F.struct("salt", "password", F.coalesce("role", F.lit("")).alias("role"), "preferences")).alias("r"))
+    own = fresh.select("username").join(first, "username").select("username", F.posexplode(F.slice("r.preferences", 1, PREFERENCES)).alias("at", "preference"))
+    outcome = requests.select("username").distinct().join(fresh.select("username", F.lit(True).alias("added")), "username", "left")
+    told = F.when(F.coalesce("added", F.lit(False)), REGISTERED).otherwise(TAKEN)
+    return fresh, own.select("username", (F.col("at") + 1).alias("id"), "preference"), outcome.select("username", F.coalesce("added", F.lit(False)).alias("success"), told.alias("message"))
+
+
 def first_preferences(preferences: DataFrame, limit: int = PREFERENCES) -> DataFrame:
     w = Window.partitionBy("username").orderBy("id")
     return preferences.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= limit).drop("rank")

@@ -34,6 +34,44 @@ def trim(nodes: DataFrame, links: DataFrame, parent: str, clicked: str) -> DataF
     return nodes.join(near.distinct(), "name", "left_semi").unionByName(nodes.filter(F.col("name").isin(parent, clicked))).dropDuplicates(["name"])
 
 
+def drawn_nodes(nodes: DataFrame, categories_: dict[str, int], size: int = 30) -> DataFrame:
+    """Nodes(id, node_type, size, description, color) as a viewer draws them: an unknown type is category 0, no size is ``size``."""
+    known = F.create_map(*[F.lit(x) for pair in categories_.items() for x in pair])
+    drawn = F.when(F.coalesce("size", F.lit(0)) == 0, size).otherwise(F.col("size"))
+    return nodes.select(F.col("id").alias("name"), F.coalesce(known[F.coalesce("node_type", F.lit(""))], F.lit(0)).alias("category"), drawn.alias("symbol_size"), F.coalesce("description", F.lit("")).alias("description"), F.coalesce("node_type", F.lit("")).alias("node_type"), F.nullif("color", F.lit("")).alias("color"))
+
+
+def drawn_links(edges: DataFrame) -> DataFrame:
+    """Relationships(from, to, caption, type) as links with the text they show."""
+    shown = F.coalesce(F.nullif("caption", F.lit("")), "type", F.lit(""))
+    return edges.select(F.col("from").alias("source"), F.col("to").alias("target"), shown.alias("label"))
+
+
+def local_suggestions(names: DataFrame, nodes: DataFrame, keyword: str, category: int | None = None, limit: int = 10) -> DataFrame:
+    """Names that contain the keyword, with the category that ``nodes`` give them, in the names' order (``pos``).
+
+    A name that stands for several nodes has the category of the last (``pos``).
+    """
+    found = names.filter(F.contains("name", F.lit(keyword)))
+    if category is not None:
+        of = nodes.groupBy("name").agg(F.max_by("category", "pos").alias("category"))
+        found = found.join(of.filter(F.col("category") == category).select("name"), "name", "left_semi")
+    return found.orderBy("pos").limit(limit).select("name")
+
+
+def or_fallback(found: DataFrame, fallback: DataFrame) -> DataFrame:
+    """``found``, or ``fallback`` where it is empty."""
+    empty = found.limit(1).agg((F.count(F.lit(1)) == 0).alias("empty"))
+    stand_in = fallback.select(*found.columns).crossJoin(F.broadcast(empty)).filter("empty").drop("empty")  # one row
+    return found.unionByName(stand_in)
+
+
+def merged_links(shown: DataFrame, fresh: DataFrame, key: list[str]) -> DataFrame:
+    """Links on view and fresh ones that aren't among them, each once."""
+    added = fresh.dropDuplicates(key).join(shown.select(*key), key, "left_anti").select(*shown.columns)
+    return shown.unionByName(added)
+
+
 def new_nodes(fresh: DataFrame, shown: DataFrame) -> DataFrame:
     return fresh.join(shown.select("name"), "name", "left_anti")
 

@@ -6,7 +6,7 @@ import importlib
 
 from graphloom.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("graph_queries", "document_queries", "extraction_queries", "quality_queries", "view_queries", "stream_queries")
+MODULES = ("graph_queries", "document_queries", "extraction_queries", "quality_queries", "medical_queries", "load_queries", "view_queries", "stream_queries")
 
 
 def _load() -> None:

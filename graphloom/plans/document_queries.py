@@ -8,6 +8,7 @@ from graphloom.functions import text as tx
 from graphloom.operators import documents as ops
 from graphloom.plans.registry import query
 from graphloom.plans.trade import load
+from graphloom.sources import markup as mk
 from graphloom.sources import pages as pg
 
 CLEAN_SQL = r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
@@ -71,18 +72,55 @@ def doc_upsert_latest(spark, d):
     return ops.upsert(docs.filter(half), docs.filter(~half), ("source", "lang"), "n_chars")
 
 
-@query("SELECT source || '' AS keyword, n_chars AS updated, doc_id FROM documents ORDER BY source, n_chars DESC, doc_id LIMIT 50")
+def scanned(spark, d):
+    k = F.col("doc_id")
+    status = F.when(k % 3 == 0, "raw").otherwise("cleaned")
+    return load(spark, d, "documents").select(k.alias("_id"), F.col("source").alias("keyword"), F.col("lang").alias("title"), F.col("n_chars").alias("updated_at"), F.when(k % 7 != 0, k).alias("doc_id"), status.alias("status"))
+
+
+@query("SELECT source AS keyword, n_chars AS updated, doc_id FROM documents ORDER BY source, n_chars DESC, doc_id LIMIT 50")
 def doc_scan_limit(spark, d):
-    docs = load(spark, d, "documents")
-    return docs.orderBy(F.asc("source"), F.desc("n_chars"), "doc_id").limit(50).select(F.col("source").alias("keyword"), F.col("n_chars").alias("updated"), "doc_id")
+    return ops.scan(scanned(spark, d), limit=50).select("keyword", F.col("updated_at").alias("updated"), F.col("_id").alias("doc_id"))
+
+
+@query("SELECT source AS keyword, n_chars AS updated, doc_id FROM documents WHERE source = 'src3'")
+def doc_scan_keyword(spark, d):
+    return ops.scan(scanned(spark, d), "src3").select("keyword", F.col("updated_at").alias("updated"), F.col("_id").alias("doc_id"))
+
+
+@query("SELECT source AS keyword, lang AS title, doc_id FROM documents WHERE doc_id % 3 <> 0 AND doc_id % 7 <> 0 AND (source = 'fr' OR lang = 'fr') ORDER BY source, n_chars DESC, doc_id LIMIT 40")
+def doc_scan_cleaned(spark, d):
+    return ops.scan_cleaned(scanned(spark, d), "fr", 40).select("keyword", "title", "doc_id")
+
+
+@query(
+    """WITH o AS (SELECT doc_id, source, lang AS keyword, n_chars, CASE WHEN doc_id % 5 = 0 THEN '' ELSE 'd' || (doc_id // 2) END AS id FROM documents), t AS (SELECT * FROM o WHERE doc_id % 2 = 0),
+f AS (SELECT *, 'd' || (doc_id // 2) AS own, row_number() OVER (PARTITION BY 'd' || (doc_id // 2) ORDER BY n_chars DESC, doc_id DESC) AS rn FROM o WHERE doc_id % 2 = 1 AND doc_id % 4 = 1)
+SELECT id, source, keyword, doc_id AS raw_id FROM t WHERE id <> '' AND id NOT IN (SELECT own FROM f) UNION ALL SELECT id, source, keyword, doc_id FROM t WHERE id = '' AND NOT EXISTS (SELECT 1 FROM f WHERE f.source = t.source AND f.keyword = t.keyword)
+UNION ALL SELECT own, source, keyword, doc_id FROM f WHERE rn = 1"""
+)
+def doc_upsert_cleaned(spark, d):
+    k = F.col("doc_id")
+    own = F.concat(F.lit("d"), F.floor(k / 2).cast("string"))
+    docs = load(spark, d, "documents").select(k.alias("raw_id"), "source", F.col("lang").alias("keyword"), F.col("n_chars").alias("updated_at"), own.alias("own"))
+    target = docs.filter("raw_id % 2 = 0").withColumn("doc_id", F.when(F.col("raw_id") % 5 == 0, "").otherwise(F.col("own"))).drop("own")
+    fresh = docs.filter("raw_id % 4 = 1").withColumnRenamed("own", "doc_id")
+    return ops.upsert_cleaned(target, fresh).select(F.col("doc_id").alias("id"), "source", "keyword", "raw_id")
+
+
+@query(f"SELECT doc_id, CAST(coalesce(list_sum(list_transform({PARTS_SQL}, lambda x: length(x))), 0) AS BIGINT) AS chars FROM documents WHERE len({PARTS_SQL}) > 3 OR length(text) >= 3000")
+def doc_accepted(spark, d):
+    docs = load(spark, d, "documents").select("doc_id", "text", F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.lit("").alias("heading"), tx.clean_text(x).alias("content"))), lambda s: s["content"] != "").alias("sections"))
+    source = F.when(F.size("sections") > 3, "html").when(F.length("text") >= 3000, "html").otherwise("card_api")
+    checked = docs.withColumn("content_check", ops.content_check(F.col("sections"), F.col("text"), source, 3000))
+    return ops.accepted(checked).select("doc_id", ops.section_chars(F.col("sections")).alias("chars"))
 
 
 @query(f"SELECT doc_id, CAST(len({PARTS_SQL}) AS INTEGER) AS sections, len({PARTS_SQL}) > 0 OR length(text) >= 200 AS has_full, CAST(length(text) AS INTEGER) AS size, CAST(list_sum(list_transform({PARTS_SQL}, lambda x: length(x))) AS BIGINT) AS section_chars FROM documents")
 def doc_content_stats(spark, d):
     docs = load(spark, d, "documents").select("doc_id", "text", F.filter(F.transform(F.split("text", "\n", -1), lambda x: F.struct(F.lit("").alias("heading"), tx.clean_text(x).alias("content"))), lambda s: s["content"] != "").alias("s"))
     check = docs.select("doc_id", "s", ops.content_check(F.col("s"), F.col("text"), F.lit("html")).alias("c"))
-    total = F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + F.length(x["content"]))
-    return check.select("doc_id", F.col("c.section_count").alias("sections"), F.col("c.has_full_content").alias("has_full"), F.col("c.full_text_length").alias("size"), total.alias("section_chars"))
+    return check.select("doc_id", F.col("c.section_count").alias("sections"), F.col("c.has_full_content").alias("has_full"), F.col("c.full_text_length").alias("size"), ops.section_chars(F.col("s")).alias("section_chars"))
 
 
 OUTCOME_SQL = "CASE WHEN doc_id % 50 = 7 THEN 'failed' WHEN n_chars < 100 THEN 'skipped' ELSE 'cleaned' END"
@@ -101,10 +139,10 @@ def doc_clean_report(spark, d):
     return out.select("stats.*", F.concat_ws(",", "failures.raw_id").alias("first_failures"))
 
 
-@query("SELECT sha256(text) AS content_hash, count(*) AS n, min(doc_id) AS first_id FROM documents GROUP BY text HAVING count(*) > 1")
+@query(f"SELECT min(doc_id) AS first_id, count(*) AS n FROM documents GROUP BY source, lang, doc_id % 100, {PARTS_SQL} HAVING count(*) > 1")
 def doc_hash_dups(spark, d):
-    hashed = load(spark, d, "documents").select(digest(F.col("text")).alias("content_hash"), "doc_id")
-    return hashed.groupBy("content_hash").agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("first_id")).filter("n > 1")
+    hashed = ops.clean_documents(raw_documents(spark, d)).select("clean_hash", F.col("raw_id").cast("long").alias("raw_id"))
+    return hashed.groupBy("clean_hash").agg(F.count(F.lit(1)).alias("n"), F.min("raw_id").alias("first_id")).filter("n > 1").drop("clean_hash")
 
 
 @query(f"SELECT doc_id, len({PARTS_SQL}) - len(list_distinct({PARTS_SQL})) AS dropped FROM documents WHERE len({PARTS_SQL}) > len(list_distinct({PARTS_SQL}))")
@@ -114,11 +152,14 @@ def doc_distinct_lines(spark, d):
     return lines.select("doc_id", (F.size("l") - F.size(F.array_distinct("l"))).cast("long").alias("dropped")).filter("dropped > 0")
 
 
-@query("SELECT conv_id, heading, sha256(string_agg(text, chr(10) ORDER BY turn)) AS content_hash, count(*) AS n FROM (SELECT *, role || '-' || (turn // 2) AS heading FROM conversations) GROUP BY conv_id, heading")
+@query(
+    """WITH n AS (SELECT *, sum((role = 'user')::INT) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS number FROM conversations)
+SELECT conv_id, number::BIGINT AS number, coalesce(max(CASE WHEN role = 'user' THEN text END), '-') AS heading, sha256(string_agg(CASE WHEN role <> 'user' THEN text END, chr(10) ORDER BY turn)) AS content_hash FROM n
+GROUP BY conv_id, number HAVING coalesce(string_agg(CASE WHEN role <> 'user' THEN text END, chr(10) ORDER BY turn), '') <> ''"""
+)
 def conv_sections(spark, d):
-    turns = load(spark, d, "conversations").withColumn("heading", F.concat("role", F.lit("-"), F.floor(F.col("turn") / 2).cast("string")))
-    grouped = turns.groupBy("conv_id", "heading").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
-    return grouped.select("conv_id", "heading", digest(F.array_join("t.text", "\n")).alias("content_hash"), F.size("t").cast("long").alias("n"))
+    out = ops.assemble_sections(load(spark, d, "conversations"), "conv_id", "turn", "text", F.col("role") == "user", "-")
+    return out.select("conv_id", "number", "heading", digest(F.col("content")).alias("content_hash"))
 
 
 @query("SELECT conv_id, sha256(string_agg(role || chr(10) || trim(text), chr(10) || chr(10) ORDER BY turn)) AS text_hash FROM conversations WHERE trim(text) <> '' GROUP BY conv_id")
@@ -137,12 +178,27 @@ def page_title_h1(spark, d):
     return load(spark, d, "pages").select("page_id", pg.tag_text(F.col("html"), "title").alias("title"), pg.tag_text(F.col("html"), "h1").alias("h1"))
 
 
-BARE_SQL = r"regexp_replace(regexp_replace(trim(url), '[#?].*$', ''), '^(?:https?:)?//', '')"
+BARE_SQL = r"regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^(?:https?:)?//', '')"
 
 
-@query(rf"SELECT page_id, 'https://' || regexp_replace(lower(split_part({BARE_SQL}, '/', 1)), '^www\.', '') || regexp_replace(substr({BARE_SQL}, length(split_part({BARE_SQL}, '/', 1)) + 1), '/+$', '') AS url FROM pages")
+@query(rf"SELECT page_id, 'https://' || regexp_replace(lower(regexp_extract({BARE_SQL}, '^[^/?]*')), '^www\.', '') || regexp_replace(regexp_extract({BARE_SQL}, '^[^/?]*(/[^?]*)?', 1), '/+$', '') || regexp_extract({BARE_SQL}, '\?.*$') AS url FROM (SELECT page_id, url || CASE page_id % 3 WHEN 0 THEN '?q=' || page_id WHEN 1 THEN '/#top' ELSE '' END AS url FROM pages)")
 def page_url_norm(spark, d):
-    return load(spark, d, "pages").select("page_id", pg.normal_url(F.col("url")).alias("url"))
+    k = F.col("page_id")
+    url = F.concat("url", F.when(k % 3 == 0, F.concat(F.lit("?q="), k.cast("string"))).when(k % 3 == 1, F.lit("/#top")).otherwise(F.lit("")))
+    return load(spark, d, "pages").select("page_id", pg.normal_url(url).alias("url"))
+
+
+@query("SELECT page_id, CASE WHEN contains(html, 'seccaptcha') THEN TRUE ELSE FALSE END AS security, trim(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '&amp;', '&', 'g')) <> '' AS titled FROM (SELECT page_id, CASE WHEN page_id % 5 = 0 THEN html || 'seccaptcha' ELSE html END AS html FROM pages)")
+def page_security(spark, d):
+    html = F.when(F.col("page_id") % 5 == 0, F.concat("html", F.lit("seccaptcha"))).otherwise(F.col("html"))
+    parts = load(spark, d, "pages").select("page_id", html.alias("html"), mk.page_parts(html, F.col("url")).alias("p"))
+    return parts.select("page_id", mk.is_security_page(F.col("p.page_title"), F.col("html")).alias("security"), (F.col("p.title") != "").alias("titled"))
+
+
+@query()
+def page_documents(spark, d):
+    pages = load(spark, d, "pages").select("page_id", mk.document(F.col("page_id").cast("string"), F.col("html"), F.col("url"), "-").alias("d"))
+    return pages.select("page_id", "d.title", "d.summary", F.to_json("d.sections").alias("sections"), F.size("d.images").alias("n_images"))
 
 
 @query()
@@ -183,9 +239,6 @@ def doc_heading_sections(spark, d):
     return out.select("doc_id", "number", "heading", digest(F.col("content")).alias("content_hash"))
 
 
-@query("SELECT kw AS doc_key, source, lang FROM (SELECT DISTINCT source || ':' || lang AS kw, source, lang FROM documents)")
+@query("SELECT sha256(source || chr(10) || lang || '-' || (doc_id % 100)) AS doc_key, count(*) AS n FROM documents GROUP BY ALL")
 def doc_keys(spark, d):
-    docs = load(spark, d, "documents").select("source", "lang").distinct()
-    return docs.select(F.concat_ws(":", "source", "lang").alias("doc_key"), "source", "lang")
-
-
+    return ops.clean_documents(raw_documents(spark, d)).groupBy(F.col("doc_id").alias("doc_key")).agg(F.count(F.lit(1)).alias("n"))

@@ -32,16 +32,23 @@ def ext_known_terms(spark, d):
     return lines.select("doc_id", F.explode(ex.known_terms(F.col("sentence"), TERMS)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT doc_id, term, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z]{2,24}(?:tion|ment|keit)')) AS term FROM documents) GROUP BY doc_id, term")
+ENDINGS = "[A-Za-z]{2,24}(?:tion|ment|keit)"
+
+
+@query(f"SELECT DISTINCT doc_id, term FROM (SELECT doc_id, unnest(regexp_extract_all(text, '{ENDINGS}')) AS term FROM documents) WHERE length(term) BETWEEN 2 AND 12")
 def ext_pattern_terms(spark, d):
-    found = load(spark, d, "documents").select("doc_id", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]{2,24}(?:tion|ment|keit)"), F.lit(0))).alias("term"))
-    return found.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
+    return load(spark, d, "documents").select("doc_id", F.explode(ex.pattern_terms(F.col("text"), ENDINGS, 12)).alias("term"))
+
 
+ITEMS_SQL = f"""list_distinct(list_filter(list_transform(regexp_split_to_array(regexp_replace(regexp_split_to_array(trim(text), '[{tx.SENTENCE_END}]')[1], '{tx.LIST_LEADS}', ''), '{tx.LIST_CUT}'),
+ lambda p: regexp_replace(regexp_replace(trim(p), '^[0-9]+[.、]', ''), '^[一二三四五六七八九十]+[、.]', '')), lambda p: length(trim(p)) BETWEEN 2 AND 24 AND regexp_matches(p, '[一-鿿A-Za-z0-9]') AND NOT regexp_matches(p, '[，,。；;]')))"""
 
-@query("SELECT doc_id, count(DISTINCT item) AS n, min(item) AS least FROM (SELECT doc_id, unnest(list_filter(list_transform(regexp_split_to_array(text, '[,;.|]|\n'), lambda x: trim(x)), lambda x: length(x) BETWEEN 2 AND 24 AND regexp_matches(x, '[A-Za-z0-9]'))) AS item FROM documents) GROUP BY doc_id")
+
+@query(f"SELECT doc_id, CAST(len(i) AS BIGINT) AS n, list_min(i) AS least FROM (SELECT doc_id, {ITEMS_SQL} AS i FROM (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '包括' WHEN 1 THEN '1.' ELSE '' END || replace(text, '.', '、') AS text FROM documents)) WHERE len(i) > 0")
 def ext_list_terms(spark, d):
-    items = F.array_distinct(F.filter(F.transform(F.split("text", "[,;.|]|\n", -1), lambda x: F.trim(x)), lambda x: tx.is_candidate(x)))
-    docs = load(spark, d, "documents").select("doc_id", items.alias("t"))
+    k = F.col("doc_id")
+    text = F.concat(F.when(k % 3 == 0, "包括").when(k % 3 == 1, "1.").otherwise(""), F.replace("text", F.lit("."), F.lit("、")))
+    docs = load(spark, d, "documents").select("doc_id", tx.split_terms(text, 24, F.trim).alias("t"))
     return docs.filter(F.size("t") > 0).select("doc_id", F.size("t").cast("long").alias("n"), F.array_min("t").alias("least"))
 
 
@@ -56,19 +63,19 @@ def ext_first_occurrence(spark, d):
     return first.select("doc_id", "term", "sent_pos", F.sha2(F.col("sentence").cast("binary"), 256).alias("evidence_hash"))
 
 
-@query("SELECT doc_id, CAST(least(nullif(instr(text, 'the'), 0), nullif(instr(text, ' de '), 0), nullif(instr(text, 'die'), 0)) AS INTEGER) AS at FROM documents WHERE least(nullif(instr(text, 'the'), 0), nullif(instr(text, ' de '), 0), nullif(instr(text, 'die'), 0)) IS NOT NULL")
+MARKS = ["the", " de ", "die"]
+PLACES_SQL = "list_filter([(instr(text, 'the'), 3), (instr(text, ' de '), 4), (instr(text, 'die'), 3)], lambda p: p[1] > 0)"
+
+
+@query(f"SELECT doc_id, sha256(substr(text, first[1] + first[2])) AS rest FROM (SELECT doc_id, text, list_min({PLACES_SQL}) AS first FROM documents) WHERE first IS NOT NULL")
 def ext_first_marker(spark, d):
-    docs = load(spark, d, "documents")
-    rest = tx.after_marker(F.col("text"), ["the", " de ", "die"])
-    marks = {"the": 3, " de ": 4, "die": 3}
-    at = F.least(*[F.nullif(F.instr("text", m), F.lit(0)) for m in marks])
-    return docs.filter(rest.isNotNull()).select("doc_id", at.alias("at"))
+    docs = load(spark, d, "documents").select("doc_id", tx.after_marker(F.col("text"), MARKS).alias("rest"))
+    return docs.filter(F.col("rest").isNotNull()).select("doc_id", F.sha2(F.col("rest").cast("binary"), 256).alias("rest"))
 
 
-@query("SELECT DISTINCT term FROM (SELECT p_name AS term FROM part UNION ALL SELECT n_name FROM nation UNION ALL SELECT 'known') WHERE length(term) BETWEEN 2 AND 24")
-def ext_vocab(spark, d):
-    names = load(spark, d, "part").select(F.col("p_name").alias("term")).union(load(spark, d, "nation").select("n_name")).union(spark.range(1).select(F.lit("known")))
-    return names.filter(tx.is_candidate(F.col("term"))).distinct()
+@query("SELECT doc_id, string_agg(length(s), ',' ORDER BY i) AS sizes FROM (SELECT doc_id, i, CASE WHEN length(t) > 180 THEN substr(t, 1, 180) || '...' ELSE t END AS s FROM (SELECT doc_id, 0 AS i, trim(regexp_replace(text, '[\\n]+', ' ', 'g')) AS t FROM documents)) GROUP BY doc_id")
+def ext_evidence(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.length(tx.short_evidence(F.col("text"))).cast("string").alias("sizes"))
 
 
 @query("SELECT role || '-' || turn AS heading, count(*) AS n, count(*) FILTER (role LIKE '%assist%') AS a, count(*) FILTER (regexp_matches(text, 'the|elle')) AS b FROM conversations GROUP BY role, turn")
@@ -104,6 +111,44 @@ def ext_edges_dedup(spark, d):
     return best_edges(raw_edges(spark, d))
 
 
+@query(
+    f"""SELECT DISTINCT term FROM (SELECT unnest({lx.RECALL_DISEASES!r}) AS term UNION ALL SELECT unnest({lx.RECALL_DISEASES!r}) FROM supplier UNION ALL SELECT unnest(['症状', '药物治疗', '检查', '并发症']) FROM supplier)
+WHERE term IN {tuple(lx.RECALL_DISEASES)!r} OR len(list_filter({lx.RECALL_DISEASE_ENDINGS!r}, lambda e: contains(term, e))) > 0"""
+)
+def ext_vocab(spark, d):
+    return ex.vocabulary(medical_documents(spark, d))
+
+
+WORDS = ["red", "small ring", "ring", "blue"]
+WORDS_SQL = "regexp_extract_all(p_name, 'small ring|blue|ring|red|[A-Za-z0-9]+|[^\\s]')"
+
+
+@query(f"SELECT p_partkey, array_to_string(list_transform({WORDS_SQL}, lambda w: w || '/' || CASE WHEN w IN ('red', 'small ring', 'ring', 'blue') THEN 'n' WHEN regexp_matches(w, '^[A-Za-z0-9]') THEN 'eng' ELSE 'x' END), ' ') AS tagged FROM part")
+def ext_tagged(spark, d):
+    words = F.transform(ex.tagged(F.col("p_name"), WORDS), lambda t: F.concat_ws("/", t["word"], t["flag"]))
+    return load(spark, d, "part").select("p_partkey", F.array_join(words, " ").alias("tagged"))
+
+
+@query(f"SELECT p_partkey, term FROM (SELECT DISTINCT p_partkey, unnest({WORDS_SQL}) AS term FROM part) WHERE term IN ('red', 'small ring', 'ring', 'blue')")
+def ext_lexical(spark, d):
+    return load(spark, d, "part").select("p_partkey", F.explode(ex.lexical_candidates(F.col("p_name"), 12, WORDS)).alias("term"))
+
+
+PAIRS_SQL = "list_transform(range(1, greatest(length(t), 2)), lambda i: (unicode(substr(t, i, 1)) * 31 + CASE WHEN length(t) > i THEN unicode(substr(t, i + 1, 1)) ELSE 0 END) % 64)"
+VECTOR_SQL = "list_transform(range(64), lambda b: CAST(len(list_filter(p, lambda x: x = b)) AS DOUBLE))"
+
+
+@query(
+    f"""WITH v AS (SELECT k, label, {VECTOR_SQL} AS v FROM (SELECT k, label, {PAIRS_SQL.replace("(t", "(t")} AS p FROM (SELECT p_partkey AS k, p_brand AS label, p_name || ' ' || p_type AS t FROM part))),
+a AS (SELECT {VECTOR_SQL} AS v FROM (SELECT {PAIRS_SQL} AS p FROM (SELECT 'red ring of steel' AS t)))
+SELECT k, round(greatest(0, least(1, (list_cosine_similarity(v.v, a.v) + 1) / 2)), 6) AS score FROM v, a"""
+)
+def ext_embedding_score(spark, d):
+    anchor = spark.range(1).select(ex.hashed_embedding(F.lit("red ring of steel")).alias("v")).first().v
+    rows = load(spark, d, "part").select(F.col("p_partkey").alias("k"), F.lit("Part").alias("label"), F.col("p_name").alias("term"), F.col("p_type").alias("evidence"))
+    return ex.embedding_scorer(ex.hashed_embedding, {"Part": anchor})(rows).select("k", F.round("score", 6).alias("score"))
+
+
 def medical_documents(spark, d):
     """Medical sentences, chosen by key from the vocabularies: as many documents as there are suppliers."""
     pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("s_suppkey") * n % len(words) + 1).cast("int"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from graphloom.functions import text as tx
 from graphloom.operators import graph
 from graphloom.plans.registry import query
 from graphloom.plans.trade import GRAPH_SQL, edges, vertices
@@ -23,10 +24,9 @@ def kg_edges(spark, d):
     return edges(spark, d)
 
 
-@query(f"{GRAPH_SQL} SELECT 'r:' || sha1(label || ':' || name) AS stable, count(*) AS n FROM v GROUP BY label, name")
+@query(f"{GRAPH_SQL} SELECT label || ':' || sha1(label || ':' || name) AS stable, count(*) AS n FROM v GROUP BY label, name")
 def kg_stable_ids(spark, d):
-    stable = F.concat(F.lit("r:"), F.sha1(F.concat("label", F.lit(":"), "name").cast("binary")))
-    return vertices(spark, d).groupBy("label", "name").agg(F.count(F.lit(1)).alias("n")).select(stable.alias("stable"), "n")
+    return vertices(spark, d).groupBy(tx.stable_id(F.col("label"), F.col("name")).alias("stable")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"{GRAPH_SQL} SELECT name, category FROM v WHERE contains(name, '01') ORDER BY name, node_id LIMIT 20")
@@ -68,7 +68,7 @@ EDGE_SQL = "SELECT edge_id, 'rel_' || rel_type || '_' || f.name || '_' || t.name
 
 def _hood(spark, d, name, **more):
     v, e = vertices(spark, d), edges(spark, d)
-    return v, e, graph.one_hop(v, e, L, name, **more)
+    return v, e, graph.small(graph.one_hop(v, e, L, name, **more), graph.ROWS_ONE_HOP + 1)
 
 
 @query(f"{hop_sql(NATION)} {NODE_SQL}")

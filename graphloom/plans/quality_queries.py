@@ -19,7 +19,8 @@ def dirty_nodes(spark, d):
     parts = load(spark, d, "part").select(F.concat(F.lit("Part:"), k.cast("string")).alias("node_id"), name.alias("name"), F.when(k % 17 == 0, "Nothing").otherwise("Part").alias("label"), k.cast("string").alias("source_doc_ids"), F.col("p_type").alias("description"), k.alias("seq"))
     s = F.col("s_suppkey")
     suppliers = load(spark, d, "supplier").select(F.concat(F.lit("Supplier:"), s.cast("string")).alias("node_id"), F.col("s_name").alias("name"), F.lit("Supplier").alias("label"), s.cast("string").alias("source_doc_ids"), F.lit("").alias("description"), s.alias("seq"))
-    return parts.unionByName(suppliers)
+    orphans = load(spark, d, "part").filter(k % 41 == 0).select(F.concat(F.lit("Part:o"), k.cast("string")).alias("node_id"), F.concat(F.lit("orphan "), k.cast("string")).alias("name"), F.lit("Part").alias("label"), F.lit("").alias("source_doc_ids"), F.lit("no edge").alias("description"), k.alias("seq"))
+    return parts.unionByName(suppliers).unionByName(orphans)
 
 
 def dirty_edges(spark, d):
@@ -49,7 +50,8 @@ def judged_edges(spark, d):
 
 NODES_SQL = """n AS (SELECT 'Part:' || p_partkey AS node_id, CASE WHEN p_partkey % 11 = 0 THEN '' WHEN p_partkey % 13 = 0 THEN 'x' WHEN p_partkey % 19 = 0 THEN '患者' || p_name ELSE p_name END AS name,
   CASE WHEN p_partkey % 17 = 0 THEN 'Nothing' ELSE 'Part' END AS label, CAST(p_partkey AS VARCHAR) AS source_doc_ids, p_type AS description, p_partkey AS seq FROM part
- UNION ALL SELECT 'Supplier:' || s_suppkey, s_name, 'Supplier', CAST(s_suppkey AS VARCHAR), '', s_suppkey FROM supplier),
+ UNION ALL SELECT 'Supplier:' || s_suppkey, s_name, 'Supplier', CAST(s_suppkey AS VARCHAR), '', s_suppkey FROM supplier
+ UNION ALL SELECT 'Part:o' || p_partkey, 'orphan ' || p_partkey, 'Part', '', 'no edge', p_partkey FROM part WHERE p_partkey % 41 = 0),
 jn AS (SELECT *, CASE WHEN label NOT IN ('Region', 'Nation', 'Customer', 'Supplier', 'Part') THEN 'invalid_node_label' WHEN name = '' THEN 'empty_name' WHEN contains(name, '患者') THEN 'bad_fragment:患者' WHEN length(name) < 2 THEN 'too_short' END AS reason,
   label || ':' || sha1(label || ':' || name) AS cid FROM n)"""
 EDGES_SQL = f"""{NODES_SQL},
@@ -62,7 +64,7 @@ je AS (SELECT x.*, try_cast(given AS DOUBLE) AS confidence, a.cid AS new_src, b.
    WHEN a.cid IS NULL OR b.cid IS NULL THEN 'endpoint_node_rejected_or_missing' WHEN NOT (a.label = 'Supplier' AND b.label = 'Part') THEN 'direction_or_label_mismatch:' || a.label || '->' || b.label
    WHEN length(evidence) < 4 THEN 'evidence_too_short' END AS reason
   FROM x LEFT JOIN (SELECT * FROM jn WHERE reason IS NULL) a ON a.node_id = x.src LEFT JOIN (SELECT * FROM jn WHERE reason IS NULL) b ON b.node_id = x.dst),
-cn AS (SELECT cid AS node_id, min(name) AS name, min(label) AS label, string_agg(DISTINCT source_doc_ids, ';' ORDER BY source_doc_ids) AS docs, arg_min(description, (-length(description), seq)) AS description FROM jn WHERE reason IS NULL GROUP BY cid),
+cn AS (SELECT cid AS node_id, min(name) AS name, min(label) AS label, coalesce(string_agg(DISTINCT nullif(source_doc_ids, ''), ';' ORDER BY nullif(source_doc_ids, '')), '') AS docs, arg_min(description, (-length(description), seq)) AS description FROM jn WHERE reason IS NULL GROUP BY cid),
 ce AS (SELECT new_src AS src, new_dst AS dst, rel_type, source_doc_id, evidence, confidence, section FROM (SELECT *, row_number() OVER (PARTITION BY new_src, new_dst, rel_type, source_doc_id ORDER BY confidence DESC, evidence, section) AS rn FROM je WHERE reason IS NULL) WHERE rn = 1),
 pk AS (SELECT * FROM cn WHERE label = 'Supplier' OR node_id IN (SELECT src FROM ce UNION SELECT dst FROM ce)),
 pr AS (SELECT * FROM cn WHERE NOT (label = 'Supplier' OR node_id IN (SELECT src FROM ce UNION SELECT dst FROM ce)))"""
@@ -90,7 +92,7 @@ def qa_edges_clean(spark, d):
 
 def _pruned(spark, d):
     nodes, edges = qa.clean_nodes(judged_nodes(spark, d)), qa.clean_edges(judged_edges(spark, d))
-    return (*qa.prune(nodes, edges, "Supplier"), edges)
+    return (*qa.prune(nodes, qa.good_edges(judged_edges(spark, d)), "Supplier"), edges)
 
 
 @query(f"WITH {EDGES_SQL} SELECT node_id, name, label FROM pk")
@@ -115,18 +117,16 @@ def qa_final_edges(spark, d):
  UNION ALL SELECT 'node', 'unreferenced_after_relationship_filter', node_id, name, label, '', '', '', '', '', docs FROM pr"""
 )
 def qa_rejects(spark, d):
-    return qa.node_rejects(judged_nodes(spark, d)).unionByName(qa.edge_rejects(judged_edges(spark, d))).unionByName(qa.prune_rejects(_pruned(spark, d)[1]))
+    return qa.postprocess(judged_nodes(spark, d), judged_edges(spark, d), "Supplier").rejects
 
 
 @query(
     f"""WITH {EDGES_SQL}, fe AS (SELECT * FROM ce WHERE src IN (SELECT node_id FROM pk) AND dst IN (SELECT node_id FROM pk)),
-c AS (SELECT (SELECT count(*) FROM n) AS a, (SELECT count(*) FROM pk) AS b, (SELECT count(*) FROM jn WHERE reason IS NOT NULL) AS c, (SELECT count(*) FROM x) AS d, (SELECT count(*) FROM fe) AS e, (SELECT count(*) FROM je WHERE reason IS NOT NULL) AS f, (SELECT count(*) FROM pr) AS g)
-SELECT unnest(['input_nodes', 'kept_nodes', 'rejected_nodes', 'input_relationships', 'kept_relationships', 'rejected_relationships', 'pruned_nodes']) AS metric, unnest([a, b, c, d, e, f, g]) AS value FROM c"""
+c AS (SELECT (SELECT count(*) FROM n) AS a, (SELECT count(*) FROM pk) AS b, (SELECT count(*) FROM jn WHERE reason IS NOT NULL) + (SELECT count(*) FROM pr) AS c, (SELECT count(*) FROM x) AS d, (SELECT count(*) FROM fe) AS e, (SELECT count(*) FROM je WHERE reason IS NOT NULL) AS f)
+SELECT unnest(['input_nodes', 'kept_nodes', 'rejected_nodes', 'merged_nodes', 'input_relationships', 'kept_relationships', 'rejected_relationships', 'merged_relationships', 'total_rejected_rows']) AS metric, unnest([a, b, c, a - b - c, d, e, f, d - e - f, c + f]) AS value FROM c"""
 )
 def qa_summary(spark, d):
-    kept, pruned, edges = _pruned(spark, d)
-    jn, je = judged_nodes(spark, d), judged_edges(spark, d)
-    return qa.summary(input_nodes=jn, kept_nodes=kept, rejected_nodes=jn.filter("reason is not null"), input_relationships=je, kept_relationships=qa.edges_between(edges, kept), rejected_relationships=je.filter("reason is not null"), pruned_nodes=pruned)
+    return qa.postprocess(judged_nodes(spark, d), judged_edges(spark, d), "Supplier").summary
 
 
 @query(f"WITH {NODES_SQL} SELECT label, label IN ('Region', 'Nation', 'Customer', 'Supplier', 'Part') AND trim(name) <> '' AS ok, count(*) AS n FROM n GROUP BY ALL")

@@ -62,20 +62,20 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best_edges(raw_edges(spark, sf_dir)).select(F.concat_ws("|", *key).alias("edge_id"), *key, "evidence", "confidence", "section")
 
 
-VERTICES_SQL = """v AS (
+VERTICES_SQL = """v AS MATERIALIZED (
  SELECT 'Region:' || r_regionkey AS node_id, r_name AS name, 'Region' AS label, 0 AS category, '' AS description FROM region
  UNION ALL SELECT 'Nation:' || n_nationkey, n_name, 'Nation', 1, '' FROM nation
  UNION ALL SELECT 'Customer:' || c_custkey, c_name, 'Customer', 2, c_mktsegment FROM customer
  UNION ALL SELECT 'Supplier:' || s_suppkey, s_name, 'Supplier', 3, NULL FROM supplier
  UNION ALL SELECT 'Part:' || p_partkey, p_name, 'Part', 4, p_type FROM part)"""
-EDGES_SQL = """raw AS (
+EDGES_SQL = """raw AS MATERIALIZED (
  SELECT 'Nation:' || n_nationkey AS src, 'Region:' || n_regionkey AS dst, 'IN_REGION' AS rel_type, '' AS source_doc_id, '' AS evidence, CAST(1.0 AS DOUBLE) AS confidence, '' AS section FROM nation
  UNION ALL SELECT 'Customer:' || c_custkey, 'Nation:' || c_nationkey, 'LIVES_IN', '', '', 1.0, '' FROM customer
  UNION ALL SELECT 'Supplier:' || s_suppkey, 'Nation:' || s_nationkey, 'BASED_IN', '', '', 1.0, '' FROM supplier
  UNION ALL SELECT 'Supplier:' || l_suppkey, 'Part:' || l_partkey, 'SUPPLIES', CAST(l_orderkey AS VARCHAR), concat_ws(' ', l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d')), round(1 - l_discount, 2), l_returnflag FROM lineitem
  UNION ALL SELECT 'Customer:' || o_custkey, 'Part:' || l_partkey, 'BOUGHT', CAST(l_orderkey AS VARCHAR), concat_ws(' ', l_returnflag, l_linestatus, strftime(l_shipdate, '%Y-%m-%d')), round(1 - l_discount, 2), l_returnflag FROM lineitem JOIN orders ON l_orderkey = o_orderkey),
-e AS (
+e AS MATERIALIZED (
  SELECT src || '|' || dst || '|' || rel_type || '|' || source_doc_id AS edge_id, src, dst, rel_type, source_doc_id, evidence, confidence, section
  FROM (SELECT *, row_number() OVER (PARTITION BY src, dst, rel_type, source_doc_id ORDER BY confidence DESC, evidence, section) AS rn FROM raw) WHERE rn = 1),
-d AS (SELECT src AS a, dst AS b, edge_id, rel_type FROM e UNION ALL SELECT dst, src, edge_id, rel_type FROM e WHERE src <> dst)"""
+d AS MATERIALIZED (SELECT src AS a, dst AS b, edge_id, rel_type FROM e UNION ALL SELECT dst, src, edge_id, rel_type FROM e WHERE src <> dst)"""
 GRAPH_SQL = f"WITH {VERTICES_SQL}, {EDGES_SQL}"

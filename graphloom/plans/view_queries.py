@@ -70,9 +70,48 @@ def view_caption_map(spark, d):
     return view.captions(links(spark, d), {"F": "filled", "O": "open"}).groupBy("shown").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("SELECT CAST(i AS INTEGER) AS category, coalesce(['Region', 'Nation', 'Customer', 'Supplier', 'Part'][i + 1], 'category ' || i) AS name FROM range(8) t(i)")
+@query("SELECT CAST(i AS INTEGER) AS category, coalesce(['Region', 'Nation', 'Customer', 'Supplier', 'Part'][i + 1], 'category ' || i) AS name FROM (SELECT unnest(range(greatest(8, 1 + (SELECT max(c_nationkey % 11) FROM customer)))) AS i)")
 def view_categories(spark, d):
-    return view.categories(nodes(spark, d), TRADE.labels)
+    return view.categories(load(spark, d, "customer").select((F.col("c_nationkey") % 11).alias("category")), TRADE.labels)
+
+
+@query("SELECT CAST(i AS INTEGER) AS category, coalesce(['Region', 'Nation', 'Customer', 'Supplier', 'Part'][i + 1], 'category ' || i) AS name FROM (SELECT unnest(range(greatest(8, 1 + (SELECT max(c_nationkey % 3) FROM customer)))) AS i)")
+def view_categories_least(spark, d):
+    return view.categories(load(spark, d, "customer").select((F.col("c_nationkey") % 3).alias("category")), TRADE.labels)
+
+
+@query(
+    """SELECT c_name AS name, CASE c_mktsegment WHEN 'AUTOMOBILE' THEN 2 WHEN 'BUILDING' THEN 4 ELSE 0 END AS category, CASE WHEN c_custkey % 4 = 0 THEN 30 ELSE CAST(c_nationkey + 10 AS INTEGER) END AS symbol_size,
+ CASE WHEN c_custkey % 3 = 0 THEN '' ELSE 'd' END AS description, c_mktsegment AS node_type, CASE WHEN c_custkey % 2 = 0 THEN '#fff' END AS color FROM customer"""
+)
+def view_drawn_nodes(spark, d):
+    k = F.col("c_custkey")
+    size = F.when(k % 8 == 0, 0).when(k % 4 != 0, F.col("c_nationkey") + 10)
+    found = load(spark, d, "customer").select(F.col("c_name").alias("id"), F.col("c_mktsegment").alias("node_type"), size.alias("size"), F.when(k % 3 != 0, "d").alias("description"), F.when(k % 2 == 0, "#fff").otherwise("").alias("color"))
+    return view.drawn_nodes(found, {"AUTOMOBILE": 2, "BUILDING": 4})
+
+
+@query("SELECT 'Customer#' || o_custkey AS source, o_orderstatus AS target, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE 'PLACED' END AS label, count(*) AS n FROM orders GROUP BY ALL")
+def view_drawn_links(spark, d):
+    k = F.col("o_orderkey")
+    found = load(spark, d, "orders").select(F.concat(F.lit("Customer#"), F.col("o_custkey").cast("string")).alias("from"), F.col("o_orderstatus").alias("to"), F.when(k % 3 == 0, F.col("o_orderpriority")).when(k % 3 == 1, "").alias("caption"), F.lit("PLACED").alias("type"))
+    return view.drawn_links(found).groupBy("source", "target", "label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"WITH {NODES_SQL}, m AS (SELECT name, arg_max(category, pos) AS category FROM nodes GROUP BY name) SELECT name FROM nodes JOIN m USING (name) WHERE contains(name, '07') AND m.category = 2 ORDER BY pos LIMIT 10")
+def view_local_suggest(spark, d):
+    return view.local_suggestions(nodes(spark, d), nodes(spark, d), "07", 2)
+
+
+@query(f"WITH {NODES_SQL} SELECT name, category FROM nodes WHERE pos % 10 = 0")
+def view_fallback(spark, d):
+    return view.or_fallback(nodes(spark, d).filter("name = 'nobody'"), shown(spark, d)).select("name", "category")
+
+
+@query(f"WITH {LINKS_SQL} SELECT caption, count(*) AS n FROM (SELECT * FROM links WHERE link_id % 2 = 0 OR link_id % 3 = 0) GROUP BY caption")
+def view_merge_links(spark, d):
+    every = links(spark, d)
+    return view.merged_links(every.filter("link_id % 2 = 0"), every.filter("link_id % 3 = 0"), ["link_id"]).groupBy("caption").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("SELECT user_id, event_type, k, last_at, rank FROM (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY last_at DESC, event_type, k) AS INTEGER) AS rank FROM (SELECT user_id, event_type, CAST(json_extract_string(props, '$.k') AS INTEGER) % 20 AS k, max(ts) AS last_at FROM events GROUP BY ALL)) WHERE rank <= 10")
@@ -106,6 +145,28 @@ def user_register(spark, d):
     return us.register(known_users(spark, d), requests(spark, d)).select("username", "password_hash", "role")
 
 
+@query(
+    """WITH q AS (SELECT 'u' || (c_custkey % 1000) AS username, CAST(c_custkey AS VARCHAR) AS salt, c_custkey AS k FROM customer WHERE c_custkey % 7 <> 0),
+w AS (SELECT username, k FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY salt) AS rn FROM q WHERE username NOT IN (SELECT 'u' || (c_custkey % 1000) FROM customer WHERE c_custkey % 1000 < 50)) WHERE rn = 1)
+SELECT username, CAST(i AS INTEGER) AS id, 'p' || (k % 5 + i) AS preference FROM w, (VALUES (1), (2), (3)) t(i) WHERE i <= k % 5"""
+)
+def user_preferences(spark, d):
+    k = F.col("salt").cast("long")
+    wanted = F.filter(F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.when(i <= k % 5, F.concat(F.lit("p"), (k % 5 + i).cast("string")))), lambda p: p.isNotNull())
+    _, own, _ = us.register_with_preferences(known_users(spark, d), requests(spark, d).withColumn("preferences", wanted))
+    return own
+
+
+@query(
+    """WITH q AS (SELECT DISTINCT CASE WHEN c_custkey % 7 = 0 THEN ' ' ELSE 'u' || (c_custkey % 1000) END AS username FROM customer)
+SELECT success, CASE WHEN success THEN 'registered' ELSE 'username is taken' END AS message, count(*) AS n FROM (SELECT username <> ' ' AND username NOT IN (SELECT 'u' || (c_custkey % 1000) FROM customer WHERE c_custkey % 1000 < 50) AS success FROM q) GROUP BY ALL"""
+)
+def user_register_outcome(spark, d):
+    wanted = F.array().cast("array<string>")
+    _, _, outcome = us.register_with_preferences(known_users(spark, d), requests(spark, d).withColumn("preferences", wanted))
+    return outcome.groupBy("success", "message").agg(F.count(F.lit(1)).alias("n"))
+
+
 def preferences(spark, d):
     events = load(spark, d, "events").groupBy("user_id", "event_type").agg(F.min("event_id").alias("id"))
     return events.select(F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("username"), "id", F.col("event_type").alias("preference"))
@@ -114,7 +175,10 @@ def preferences(spark, d):
 PREFERENCES_SQL = "p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY username ORDER BY id) AS rn FROM (SELECT 'u' || user_id AS username, event_type AS preference, min(event_id) AS id FROM events GROUP BY user_id, event_type)) WHERE rn <= 3)"
 
 
-@query(f"WITH {PREFERENCES_SQL} SELECT 'u8' AS username, 'r' AS role, (SELECT string_agg(preference, ',' ORDER BY id) FROM p WHERE username = 'u8') AS preferences")
+KNOWN_SQL = "known AS (SELECT DISTINCT 'u' || (c_custkey % 1000) AS username, sha256('s:pw') AS password_hash, 's' AS salt, 'r' AS role FROM customer WHERE c_custkey % 1000 < 50)"
+
+
+@query(f"WITH {PREFERENCES_SQL}, {KNOWN_SQL} SELECT username, role, (SELECT coalesce(string_agg(preference, ',' ORDER BY id), '') FROM p WHERE p.username = known.username) AS preferences FROM known WHERE username = 'u8' AND password_hash = sha256(salt || ':' || 'pw')")
 def user_login(spark, d):
     found = us.login(known_users(spark, d), us.first_preferences(preferences(spark, d)), "u8", "pw")
     return found.withColumn("preferences", F.concat_ws(",", "preferences"))

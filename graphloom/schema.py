@@ -62,7 +62,7 @@ RAW_DOCUMENT = T.StructType(
         T.StructField("updated_at", T.TimestampType()),
     ]
 )
-#: Columns of the graph files: header name in the file, name in the engine.
+# Columns of the graph files (header name in the file, name in the engine) and of rejected rows.
 NODE_COLUMNS = {"node_id:ID": "node_id", "name": "name", "type:LABEL": "label", "source_doc_ids": "source_doc_ids", "description": "description"}
 EDGE_COLUMNS = {
     ":START_ID": "src",

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.schema import EDGE_COLUMNS, NODE_COLUMNS
+from graphloom.operators.quality import Outputs
+from graphloom.schema import EDGE_COLUMNS, NODE_COLUMNS, REJECT_COLUMNS
 
 OPTIONS = {"header": True, "multiLine": True, "quote": '"', "escape": '"', "encoding": "UTF-8", "emptyValue": "", "nullValue": "\u0000"}
 
@@ -32,3 +33,13 @@ def write_graph(nodes: DataFrame, edges: DataFrame, path: str, single: bool = Fa
     flat = nodes.withColumn("source_doc_ids", F.concat_ws(";", F.array_sort("docs")))
     write(flat, f"{path}/nodes", NODE_COLUMNS, ("label", "name"), single)
     write(edges.withColumn("confidence", F.format_string("%.2f", "confidence")), f"{path}/relationships", EDGE_COLUMNS, ("rel_type", "source_doc_id", "src", "dst"), single)
+
+
+def write_outputs(out: Outputs, path: str, single: bool = False) -> None:
+    """The four files of the quality stage; edges in the order of their type, ends and document."""
+    nodes = out.nodes.withColumn("source_doc_ids", F.concat_ws(";", F.array_sort("docs")))
+    edges = out.edges.withColumn("confidence", F.format_string("%.2f", "confidence"))
+    write(nodes, f"{path}/nodes", NODE_COLUMNS, ("label", "name"), single)
+    write(edges, f"{path}/relationships", EDGE_COLUMNS, ("rel_type", "src", "dst", "source_doc_id"), single)
+    write(out.rejects, f"{path}/rejects", {c: c for c in REJECT_COLUMNS}, ("item_type", "reason", "id", "start_id", "end_id"), single)
+    write(out.summary, f"{path}/summary", {"metric": "metric", "value": "value"}, ("metric",), single)

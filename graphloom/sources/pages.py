@@ -30,11 +30,11 @@ def blocks(html: Column, tags: str = "h1|h2|h3|p|li") -> Column:
 
 
 def normal_url(url: Column) -> Column:
-    """https, host in lower case without www., no fragment, no query, no slash at the end."""
-    bare = F.regexp_replace(F.regexp_replace(F.trim(url), r"[#?].*$", ""), r"^(?:https?:)?//", "")
-    host = F.regexp_replace(F.lower(F.substring_index(bare, "/", 1)), r"^www\.", "")
-    path = F.regexp_replace(F.substr(bare, F.length(F.substring_index(bare, "/", 1)) + 1), r"/+$", "")
-    return F.concat(F.lit("https://"), host, path)
+    """https, host in lower case without www., no fragment, no slash at the end of the path; the query stays."""
+    bare = F.regexp_replace(F.regexp_replace(F.trim(url), "#.*$", ""), "^(?:https?:)?//", "")
+    host = F.regexp_replace(F.lower(F.regexp_extract(bare, "^[^/?]*", 0)), r"^www\.", "")
+    path = F.regexp_replace(F.regexp_extract(bare, r"^[^/?]*(/[^?]*)?", 1), "/+$", "")
+    return F.concat(F.lit("https://"), host, path, F.regexp_extract(bare, r"\?.*$", 0))
 
 
 def absolute_url(url: Column) -> Column:

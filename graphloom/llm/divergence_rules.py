@@ -5,6 +5,10 @@ references of its language by Jensen-Shannon distance. References are robust cen
 itself: per language the median share of every class or word, over all documents that are long
 enough and pass the base rules. Documents under a minimum length aren't judged by a histogram,
 since a short text's histogram says little.
+
+Two limits follow. Where most documents of a language that pass the base rules are junk, junk is the reference;
+a caller who expects that hands in a corpus in which it isn't so. In a language without a list of common
+words nearly all words are others, so that only the characters tell.
 """
 
 from __future__ import annotations

@@ -8,6 +8,7 @@ import tempfile
 import uuid
 import zipfile
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -68,6 +69,17 @@ def discard(*stored: DataFrame | None) -> None:
             _written[df.sparkSession.sparkContext.applicationId].discard(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], None]]:
+    """Deletes at its end the tables that were written inside it, but for those that it was told to keep."""
+    written = _written.setdefault(spark.sparkContext.applicationId, set())
+    before, kept = set(written), set()
+    yield lambda df: kept.add(df.stored_at)
+    for path in written - before - kept:
+        delete_path(spark, path)
+        written.discard(path)
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all that this application's operators have written: once their results are stored elsewhere."""
     for path in _written.pop(spark.sparkContext.applicationId, set()):

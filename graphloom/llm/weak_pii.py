@@ -4,15 +4,16 @@ Patterns propose spans. Base kinds (email, ip, card, phone) follow a fixed contr
 stay. Further kinds (secrets, national phone numbers, national ids, account numbers, titled names)
 are only proposed: four labelers (shape, gazetteer, context, surroundings) vote on every span for,
 against or not at all. Expectation-maximisation over the counts of vote patterns estimates how
-reliable each labeler is; the resulting labels train a logistic classifier on the votes, and a
-proposed span stays if the classifier finds it more likely than not. The counts of vote patterns
-are bounded (kinds times 3 to the power of the labelers), so the driver fits both.
+reliable each labeler is for each kind; what it has seen little of a kind leans on all kinds. Without an
+anchor its two classes could be any two, so base spans count as nearly surely personal. The resulting labels
+train a logistic classifier on votes, kind and form (length, share of digits), and a proposed span stays if the
+classifier finds it more likely than not. The counts of patterns are bounded (kinds times 3 to the power
+of the labelers times the forms), so the driver fits both.
 """
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -63,6 +64,23 @@ CUES = {
 }
 AGAINST = r"(?i)\b(?:version|isbn|issn|doi|order|invoice|page|fig|figure|section|chapter|example|sample|placeholder|dummy)\b[^0-9A-Za-z]*$"
 PLACEHOLDER = r"(?i)^(?:password|your|changeme|example|x+|\*+|0+|1234567890?|none|null|true|false|localhost)$|^(?:0\.0\.0\.0|127\.|255\.|192\.0\.2\.|198\.51\.100\.|203\.0\.113\.)|^(?:no-?reply|postmaster|example|test)@|^000|^666|^[A-Z]{2}00"
+# What a value holds that is known to be in use: domains, issuers, country codes, key prefixes, given names.
+GAZETTEER = {
+    "email": r"(?i)\.(?:com|org|net|edu|gov|int|info|io|eu|uk|de|fr|es|it|nl|ch|at|be|pl|ca|us)$",
+    "card": r"^(?:4|5[1-5]|2[2-7]|3[47]|6011|65)",
+    "phone": r"^\+(?:1|7|2[07]|3[0-469]|4[0-9]|5[1-8]|6[0-6]|8[1-6]|9[0-58])",
+    "secret": r"^(?:AKIA|gh[pousr]_|sk[-_]|xox[abp]-|eyJ)",
+    "tel": r"^\(?[2-9](?!11)[0-9]{2}",
+    "account": r"^(?:AD|AT|BE|CH|CY|CZ|DE|DK|EE|ES|FI|FR|GB|GR|HR|HU|IE|IS|IT|LT|LU|LV|MT|NL|NO|PL|PT|RO|SE|SI|SK)",
+    "person": r"(?i)\b(?:james|john|robert|michael|william|david|mary|patricia|linda|elizabeth|anna|maria|peter|thomas|paul|marie|jean|pierre|hans|juan|jose|carmen|laura|sarah)\b",
+}
+#: Probability that a base span is personal, for the label model.
+ANCHOR = 0.95
+#: How many spans' worth of all kinds stand behind a kind's own counts.
+SHARED = 20.0
+#: Upper bounds of the classes of length and of the share of digits.
+LENGTHS = (12, 24, 48)
+DIGITS = (0.2, 0.6)
 SHAPE = {
     "email": r"\.[A-Za-z]{2,24}$",
     "ip": r"^[1-9][0-9]{0,2}(?:\.(?:0|[1-9][0-9]{0,2})){3}$",
@@ -189,7 +207,8 @@ def votes(span: F.Column) -> list[F.Column]:
         return out
 
     shape = F.when(by_kind(lambda k: bare.rlike(SHAPE[k])), 1).otherwise(-1)
-    gazetteer = F.when(bare.rlike(PLACEHOLDER), -1).otherwise(0)
+    known = by_kind(lambda k: bare.rlike(GAZETTEER[k]) if k in GAZETTEER else F.lit(False))
+    gazetteer = F.when(bare.rlike(PLACEHOLDER), -1).when(known, 1).otherwise(0)
     around = F.concat(before, F.lit(" "), F.when(kind == KINDS.index("secret"), value).otherwise(F.lit("")))
     cue = by_kind(lambda k: F.lower(around).rlike(rf"(?:^|[^a-z])(?:{CUES[k].replace(' ', '|')})"))
     context = F.when(before.rlike(AGAINST), -1).when(cue, 1).otherwise(0)
@@ -197,46 +216,77 @@ def votes(span: F.Column) -> list[F.Column]:
     return [shape, gazetteer, context, F.when(clean, 1).otherwise(-1)]
 
 
-def fit(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, list[list[float]], list[float]]:
-    """(kind, votes, count) -> probabilities of the label model, reliabilities per labeler, weights of the classifier.
+def form(span: F.Column) -> list[F.Column]:
+    """Classes of the length and of the share of digits of a span's value."""
+    size = F.length(span["value"])
+    digits = F.length(F.regexp_replace(span["value"], "[^0-9]", "")) / F.greatest(size, F.lit(1))
+
+    def place(x: F.Column, bounds: tuple) -> F.Column:
+        return sum(((x > b).cast("int") for b in bounds), F.lit(0))
+
+    return [place(size, LENGTHS), place(digits, DIGITS)]
+
+
+#: A span's inputs to the classifier: its votes, one place for each kind and each class of form, and a bias.
+WIDTHS = (len(KINDS), len(LENGTHS) + 1, len(DIGITS) + 1)
+
+
+def inputs(kind: int, votes_: tuple[int, ...], forms: tuple[int, ...]) -> list[float]:
+    out = [float(v) for v in votes_]
+    for value, width in zip((kind, *forms), WIDTHS):
+        out += [float(value == i) for i in range(width)]
+    return [*out, 1.0]
 
-    Expectation-maximisation: a hidden label per span; given it, the labelers vote independently of each
-    other. It starts from the majority of votes. The classifier is a logistic regression on the votes.
+
+def label_model(patterns: list[tuple[int, tuple[int, ...], int]], rounds: int = 50) -> tuple[dict, list[list[float]]]:
+    """(kind, votes, count) -> probability of each (kind, votes), and the reliabilities of the labelers over all kinds.
+
+    Expectation-maximisation: a hidden label per span; given it and the kind, the labelers vote independently of
+    each other. It starts from the majority of votes; base kinds stay at ``ANCHOR``.
     """
     majority = lambda v: 0.9 if sum(v) > 0 else 0.1 if sum(v) < 0 else 0.5
-    posterior = {(k, v): majority(v) for k, v, _ in patterns}
-    table: list[list[float]] = []
+    posterior = {(k, v): ANCHOR if k < len(BASE) else majority(v) for k, v, _ in patterns}
+    labelers, table = range(len(LABELERS)), np.zeros(0)
     for _ in range(rounds):
-        # maximisation: of each labeler, P(vote | label), with one pseudo-count each
-        table = []
-        for j in range(len(LABELERS)):
-            counts = {(y, x): 1.0 + (x != 0 and (x > 0) == (y == 1)) for y in (0, 1) for x in (-1, 0, 1)}
-            for k, v, n in patterns:
-                p = posterior[k, v]
-                counts[1, v[j]] += n * p
-                counts[0, v[j]] += n * (1 - p)
-            table.append([counts[y, x] / sum(counts[y, z] for z in (-1, 0, 1)) for y in (0, 1) for x in (-1, 0, 1)])
-        prior: dict[int, list[float]] = {}
+        # maximisation: of each labeler P(vote | label), with two pseudo-counts for the right side and one for each vote
+        counts = np.zeros((len(KINDS), len(LABELERS), 2, 3))
+        prior = np.ones((len(KINDS), 2))
         for k, v, n in patterns:
-            held = prior.setdefault(k, [1.0, 1.0])
-            held[1] += n * posterior[k, v]
-            held[0] += n * (1 - posterior[k, v])
+            p = posterior[k, v]
+            prior[k] += n * (1 - p), n * p
+            for j in labelers:
+                counts[k, j, :, v[j] + 1] += n * (1 - p), n * p
+        whole = counts.sum(axis=0) + np.array([[3.0, 1.0, 1.0], [1.0, 1.0, 3.0]])
+        table = whole / whole.sum(axis=2, keepdims=True)
+        own = counts + SHARED * table
+        log = np.log(own / own.sum(axis=3, keepdims=True))
+        side = np.log(prior / prior.sum(axis=1, keepdims=True))
         # expectation
         for k, v, _ in patterns:
-            log = [math.log(prior[k][y] / sum(prior[k])) + sum(math.log(table[j][3 * y + v[j] + 1]) for j in range(len(LABELERS))) for y in (0, 1)]
-            posterior[k, v] = 1 / (1 + math.exp(min(700.0, log[0] - log[1])))
-    # classifier: one weight per vote and a bias, by gradient ascent with a quadratic penalty
-    weights = [0.0] * (len(LABELERS) + 1)
-    total = sum(n for *_, n in patterns) or 1
+            if k >= len(BASE):
+                for_, against = (side[k, y] + sum(log[k, j, y, v[j] + 1] for j in labelers) for y in (1, 0))
+                posterior[k, v] = float(1 / (1 + np.exp(min(700.0, against - for_))))
+    return posterior, [[float(x) for x in table[j].ravel()] for j in labelers]
+
+
+def fit(patterns: list[tuple[int, tuple[int, ...], tuple[int, ...], int]]) -> tuple[dict, list[list[float]], list[float]]:
+    """(kind, votes, form, count) -> probabilities of the label model, reliabilities, weights of the classifier.
+
+    The classifier is a logistic regression on the label model's probabilities, by gradient ascent with a quadratic penalty.
+    """
+    totals: dict[tuple, int] = {}
+    for k, v, _, n in patterns:
+        totals[k, v] = totals.get((k, v), 0) + n
+    posterior, table = label_model([(k, v, n) for (k, v), n in sorted(totals.items())])
+    if not patterns:
+        return posterior, table, [0.0] * (len(LABELERS) + sum(WIDTHS) + 1)
+    x = np.array([inputs(k, v, f) for k, v, f, _ in patterns])
+    target, n = np.array([posterior[k, v] for k, v, _, _ in patterns]), np.array([float(n) for *_, n in patterns])
+    weights = np.zeros(x.shape[1])
     for _ in range(2000):
-        slope = [-0.001 * w for w in weights]
-        for k, v, n in patterns:
-            x = (*v, 1)
-            error = posterior[k, v] - 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(weights, x))))))
-            for j, a in enumerate(x):
-                slope[j] += n * error * a / total
-        weights = [w + 0.5 * s for w, s in zip(weights, slope)]
-    return posterior, table, weights
+        error = target - 1 / (1 + np.exp(-np.clip(x @ weights, -30, 30)))
+        weights += 0.5 * ((n * error) @ x / n.sum() - 0.001 * weights)
+    return posterior, table, weights.tolist()
 
 
 def detect(docs: DataFrame, text: str = "text", carry: list[str] | None = None) -> DataFrame:
@@ -249,14 +299,19 @@ def detect(docs: DataFrame, text: str = "text", carry: list[str] | None = None)
     carry = docs.columns if carry is None else carry
     found = materialize(propose(docs, text, carry), "spans")
     both = F.concat("base", "extra")
-    ballots = found.select(F.explode(both).alias("s")).select(F.col("s.kind").alias("kind"), F.array(*votes(F.col("s"))).alias("votes")).groupBy("kind", "votes").count()
-    _, _, weights = fit(sorted((r["kind"], tuple(r["votes"]), r["count"]) for r in ballots.collect()))
+    span = F.col("s")
+    ballots = found.select(F.explode(both).alias("s")).select(F.col("s.kind").alias("kind"), F.array(*votes(span)).alias("votes"), F.array(*form(span)).alias("form")).groupBy("kind", "votes", "form").count()
+    _, _, weights = fit(sorted((r["kind"], tuple(r["votes"]), tuple(r["form"]), r["count"]) for r in ballots.collect()))
+    by_vote, bias, rest = weights[: len(LABELERS)], weights[-1], weights[len(LABELERS) : -1]
+    tables = [F.lit(rest[sum(WIDTHS[:i]) : sum(WIDTHS[: i + 1])]) for i in range(len(WIDTHS))]
 
     def judged(base: bool):
         def one(s: F.Column) -> F.Column:
-            score = F.lit(weights[-1])
-            for w, v in zip(weights, votes(s)):
+            score = F.lit(bias)
+            for w, v in zip(by_vote, votes(s)):
                 score = score + F.lit(w) * v
+            for table, place in zip(tables, (s["kind"], *form(s))):
+                score = score + F.get(table, place)
             return F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), (1 / (1 + F.exp(-score))).alias("probability"), F.lit(base).alias("base"))
 
         return one

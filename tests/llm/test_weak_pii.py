@@ -98,10 +98,35 @@ def test_label_model_finds_the_reliable_labeler():
         right = lambda p: (1 if y else -1) * (1 if rng.random() < p else -1)
         v = (right(0.95), right(0.8), right(0.85), right(0.55))
         counts[v] = counts.get(v, 0) + 1
-    posterior, table, weights = weak_pii.fit([(0, v, n) for v, n in sorted(counts.items())])
+    kind = weak_pii.KINDS.index("tel")
+    posterior, table, weights = weak_pii.fit([(kind, v, (0, 0), n) for v, n in sorted(counts.items())])
     reliability = [t[5] for t in table]
     assert reliability[0] > 0.9 and reliability[0] > reliability[2] > reliability[1] > reliability[3] and reliability[3] < 0.62
-    assert weights[0] > weights[2] > weights[3] and posterior[0, (1, 1, 1, 1)] > 0.99
+    assert weights[0] > weights[2] > weights[3] and posterior[kind, (1, 1, 1, 1)] > 0.99
+
+
+def test_added_spans_against_planted_ones(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("etaoin") for _ in range(rng.randrange(2, 8)))
+    prose = lambda n: " ".join(word() for _ in range(n))
+    digits = lambda n: "".join(rng.choice("0123456789") for _ in range(n))
+    token = lambda n: "".join(rng.choice("0123456789abcdef") for _ in range(n - 2)) + "a7"
+    personal = [
+        lambda: f"password={token(20)}",
+        lambda: f'api_key: "{token(32)}',
+        lambda: f"call (2{digits(2)}) {digits(3)}-{digits(4)}",
+        lambda: f"phone {rng.randrange(301, 800)}-{digits(3)}-{digits(4)}",
+        lambda: f"ssn {rng.randrange(101, 600)}-{rng.randrange(10, 99)}-{rng.randrange(1000, 9999)}",
+        lambda: f"iban DE{digits(2)} {digits(4)} {digits(4)} {digits(4)} {digits(4)} {digits(2)}",
+        lambda: f"signed Dr. {rng.choice(['Maria', 'Peter', 'Xaver'])} {word().title()}",
+    ]
+    harmless = [lambda: "password=changeme", lambda: "token: xxxxxxxx", lambda: f"order 0{digits(2)}-{digits(3)}-{digits(4)}", lambda: f"version 1{digits(2)} {digits(3)} {digits(4)}x", lambda: f"isbn 000-{digits(2)}-{digits(4)}", lambda: f"invoice XX00 {digits(4)} {digits(4)} {digits(4)}."]
+    rows = [(i, f"{prose(8)} {rng.choice(personal)()} {prose(5)}") for i in range(300)] + [(1000 + i, f"{prose(8)} {rng.choice(harmless)()} {prose(5)}") for i in range(150)]
+    rows += [(2000 + i, f"{prose(5)} a{i}.{word()}@mail.{word()}.com {prose(5)} 10.{rng.randrange(1, 200)}.3.7 {prose(3)}") for i in range(100)] + [(3000 + i, prose(30)) for i in range(100)]
+    found = weak_pii.detect(spark.createDataFrame(rows, "doc_id long, text string"))
+    hit = {r.doc_id for r in found.select("row.doc_id", F.size(F.filter("spans", lambda s: ~s["base"])).alias("n")).filter("n > 0").collect()}
+    planted, false = {i for i in hit if i < 1000}, {i for i in hit if i >= 1000}
+    assert len(planted) >= 0.95 * 300 and len(false) <= 0.05 * len(hit), (len(planted), len(false))
 
 
 def spread(rng, n):

@@ -93,9 +93,11 @@ def join_by_share(left: DataFrame, right: DataFrame, key: str, rows: str, total:
     them, so their side is broadcast; the rows of all other keys are shuffled. ``right`` stands in the plan twice:
     an aggregate shares its exchange.
     """
-    heavy = right.filter(F.col(rows) * share > total)
+    heavy, light = right.filter(F.col(rows) * share > total), right.filter(F.col(rows) * share <= total)
     common = left.join(F.broadcast(heavy), key)
-    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(right.filter(F.col(rows) * share <= total), key)
+    if getattr(right, "stored_at", None) and not light.head(1):
+        return common  # nothing to shuffle, so no second look at the rows
+    rest = left.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key)
     return common.unionByName(rest)
 
 

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from graphloom.llm._common import materialize, with_results
+from graphloom.llm._common import join_by_share, materialize, with_results
 
 #: Classes of characters, in this order: a-z, A-Z, other letters, digits, white space, sentence marks, other ASCII marks, anything else.
 CLASSES = ("lower", "upper", "letter", "digit", "space", "stop", "mark", "other")
@@ -199,9 +199,10 @@ def judge(
     good = seen.filter(~F.col("base_failed"))
     by_class = reference(good.filter(long_enough["class"]), "key", "class_counts", chars, len(CLASSES), "class_ref")
     by_word = reference(good.filter(long_enough["word"]), "key", "word_counts", words, size, "word_ref")
-    refs = by_class.join(by_word, "ref_key", "full")
-    # a row per language; languages are not bounded by contract, so Catalyst picks the join by size
-    out = seen.join(refs, F.col("key") == F.col("ref_key"), "left")
+    # a row per language; a common one is broadcast, so that its documents, text and all, stay where they are
+    languages = seen.groupBy("key").agg(F.count(F.lit(1)).alias("of_key")).join(by_class.join(by_word, "ref_key", "full"), F.col("key") == F.col("ref_key"), "left")
+    refs = materialize(languages.select("key", "of_key", "class_ref", "word_ref"), "references")
+    out = join_by_share(seen, refs, "key", "of_key", refs.agg(F.coalesce(F.sum("of_key"), F.lit(0))).first()[0])
     out = out.withColumns(
         {
             "class_distance": F.when(long_enough["class"], distance(shares("class_counts", chars), F.col("class_ref"))),
@@ -211,7 +212,7 @@ def judge(
     by_class, by_word = F.coalesce("class_distance", F.lit(0.0)), F.coalesce("word_distance", F.lit(0.0))
     both = (by_class > both_class) & (by_word > both_words + word_slack / F.sqrt(F.greatest("n_words", F.lit(1))))
     passed = (by_class <= max_class) & (by_word <= max_words) & ~both
-    return out.withColumn("kept", ~F.col("base_failed") & passed).drop("key", "ref_key", "n_chars", "class_ref", "word_ref", "class_counts", "word_counts")
+    return out.withColumn("kept", ~F.col("base_failed") & passed).drop("key", "of_key", "n_chars", "class_ref", "word_ref", "class_counts", "word_counts")
 
 
 def query(docs: DataFrame) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphloom.llm import divergence_rules, pair_bpe, probminhash, tiling, weak_pii
-from graphloom.llm._common import materialize
+from graphloom.llm._common import discard, materialize, scratch
 from graphloom.llm.registry import BYTE_BPE, table
 
 
@@ -67,9 +67,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages on ``documents``; a stage's own tables, and its input, go once its output is written."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k + 1 < len(STAGES):
-            docs = materialize(docs, name)
-    return docs
+    for name, stage in STAGES[:-1]:
+        with scratch(spark) as keep:
+            out = materialize(stage(spark, docs, sf_dir), name)
+            keep(out)
+        discard(docs)
+        docs = out
+    return STAGES[-1][1](spark, docs, sf_dir)

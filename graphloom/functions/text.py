@@ -14,6 +14,8 @@ from pyspark.sql.types import StringType
 LINE_BREAKS = r"\r\n|[\n\r\u000b\u000c\u001c\u001d\u001e\u0085  ]"
 REFERENCE = r"\[[0-9]+(?:-[0-9]+)?\]"
 BLANKS = r"[ \t\r\f\u000b]+"
+#: What makes a text more than one clean line: breaks, blanks that aren't one space, reference marks.
+UNCLEAN = r"[\n\r\u000b\u000c\u001c\u001d\u001e\u0085\u2028\u2029\t\u00a0\u3000\[]|  "
 SENTENCE_END = "。！？!?；;"
 #: Characters stripped from both ends of a name when it is cleaned.
 NAME_EDGES = " \t\r\n\"'“”‘’[]【】()（）:：,，.。;；!！?？、"
@@ -40,7 +42,12 @@ def clean_text(text: F.Column, unescape=None) -> F.Column:
     """No reference marks, blank runs as one space, lines trimmed and blank lines dropped; null gives an empty text."""
     text = F.coalesce(text, F.lit(""))
     if unescape is not None:
-        text = unescape(text)
+        return cleaned_lines(unescape(text))
+    # most short texts (headings, names, lines) have nothing to clean but their ends
+    return F.when(text.rlike(UNCLEAN), cleaned_lines(text)).otherwise(F.trim(text))
+
+
+def cleaned_lines(text: F.Column) -> F.Column:
     text = F.translate(text, " 　", "  ")
     text = F.regexp_replace(text, REFERENCE, "")
     lines = F.split(text, LINE_BREAKS, -1)

@@ -8,8 +8,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Tables with work to do on every row.
+WORKED = {"lineitem", "documents", "pages"}
+
+
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    table = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(table) if name in WORKED else table
+
+
+def spread(table: DataFrame) -> DataFrame:
+    """A table with fewer parts than half the cores (a small file of one row group, say) is dealt out to all of them.
+
+    Larger tables have more parts than that and are read as they are; filters and columns are pushed below.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    parts = table._jdf.queryExecution().toRdd().getNumPartitions()
+    return table.repartition(cores) if 2 * parts < cores else table
 
 
 def _id(label: str, key: str) -> F.Column:

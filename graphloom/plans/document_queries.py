@@ -10,6 +10,7 @@ from graphloom.plans.registry import query
 from graphloom.plans.trade import load
 from graphloom.sources import markup as mk
 from graphloom.sources import pages as pg
+from graphloom.sources import raw as rw
 
 CLEAN_SQL = r"array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(regexp_replace(x, '[ \t\r\f\v]+', ' ', 'g'))), lambda x: x <> ''), chr(10))"
 digest = lambda c: F.sha2(c.cast("binary"), 256)
@@ -195,26 +196,83 @@ def page_security(spark, d):
     return parts.select("page_id", mk.is_security_page(F.col("p.page_title"), F.col("html")).alias("security"), (F.col("p.title") != "").alias("titled"))
 
 
-@query()
+@query(f"SELECT page_id, CASE WHEN {tag_sql('h1')} = '' THEN CAST(page_id AS VARCHAR) ELSE {tag_sql('h1')} END AS title, '' AS summary, 1 AS n_sections, 0 AS n_images FROM pages WHERE page_id % 4 <> 0 UNION ALL SELECT page_id, NULL, NULL, NULL, NULL FROM pages WHERE page_id % 4 = 0")
 def page_documents(spark, d):
-    pages = load(spark, d, "pages").select("page_id", mk.document(F.col("page_id").cast("string"), F.col("html"), F.col("url"), "-").alias("d"))
-    return pages.select("page_id", "d.title", "d.summary", F.to_json("d.sections").alias("sections"), F.size("d.images").alias("n_images"))
+    html = F.when(F.col("page_id") % 4 == 0, F.concat("html", F.lit("seccaptcha"))).otherwise(F.col("html"))
+    pages = load(spark, d, "pages").select("page_id", mk.document(F.col("page_id").cast("string"), html, F.col("url"), "-").alias("d"))
+    known = F.col("d").isNotNull()
+    return pages.select("page_id", "d.title", "d.summary", F.when(known, F.size("d.sections")).alias("n_sections"), F.when(known, F.size("d.images")).alias("n_images"))
 
 
-@query()
+# a block runs from its tag to the next tag that bounds one; without a bound after it there is no block
+PIECES_SQL = r"string_split(regexp_replace(html, '(?i)<(/?(?:h1|h2|h3|p|li|ul|article|footer|nav|div))([ >/])', chr(1) || '<\1\2', 'g'), chr(1))"
+BLOCKS_SQL = rf"""blocks AS (SELECT page_id, generate_subscripts(b, 1) - 1 AS pos, unnest(b) AS b FROM (SELECT page_id, list_filter(list_transform(list_filter(p[1:len(p) - 1], lambda x: regexp_matches(x, '(?is)^<(?:h1|h2|h3|p|li)(?: [^>]*)?>')),
+ lambda x: {{'kind': lower(regexp_extract(x, '<([a-zA-Z0-9]+)', 1)), 'text': trim(regexp_replace({UNESCAPE_SQL.format("regexp_replace(x, '<[^>]*>', '', 'g')")}, '\s+', ' ', 'g'))}}), lambda x: x.text <> '') AS b FROM (SELECT page_id, {PIECES_SQL} AS p FROM pages)))"""
+SECTIONS_SQL = """g AS (SELECT page_id, pos, b.kind IN ('h1', 'h2', 'h3') AS head, b.text AS text, sum((b.kind IN ('h1', 'h2', 'h3'))::INT) OVER (PARTITION BY page_id ORDER BY pos ROWS UNBOUNDED PRECEDING) AS number FROM blocks),
+sections AS (SELECT page_id, coalesce(max(CASE WHEN head THEN text END), '正文') AS heading, string_agg(CASE WHEN NOT head THEN text END, chr(10) ORDER BY pos) AS content, number::BIGINT AS number FROM g GROUP BY page_id, number HAVING coalesce(string_agg(CASE WHEN NOT head THEN text END, chr(10) ORDER BY pos), '') <> '')"""
+
+
+@query(f"WITH {BLOCKS_SQL} SELECT page_id, CAST(pos AS INTEGER) AS pos, b.kind AS kind, b.text AS text FROM blocks")
 def page_blocks(spark, d):
     rows = load(spark, d, "pages").select("page_id", F.posexplode(pg.blocks(F.col("html"))).alias("pos", "b"))
     return rows.select("page_id", "pos", "b.kind", "b.text")
 
 
-@query()
+@query(f"WITH {BLOCKS_SQL}, {SECTIONS_SQL} SELECT * FROM sections")
 def page_sections(spark, d):
     return ops.assemble_sections(page_blocks(spark, d), "page_id", "pos", "text", F.col("kind").isin("h1", "h2", "h3"))
 
 
-@query()
+@query(f"WITH {BLOCKS_SQL}, {SECTIONS_SQL} SELECT * FROM sections WHERE length(content) >= 80 OR heading = '正文'")
 def page_useful(spark, d):
-    return page_sections(spark, d).filter(pg.is_useful(F.col("heading"), F.col("content"), []))
+    return page_sections(spark, d).filter(pg.is_useful(F.col("heading"), F.col("content"), ["正文"]))
+
+
+NOISE, STOPS = ["Of.", "The."], ["License", "©"]
+
+
+@query("WITH l AS (SELECT doc_id, unnest(string_split(text || chr(10) || '© x' || chr(10) || 'end．', chr(10))) AS line FROM documents) SELECT doc_id, count(*) AS n, count(*) FILTER (line = '' OR line IN ('Of.', 'The.') OR contains(line, 'License') OR contains(line, '©') OR ends_with(line, '．') AND length(line) < 80) AS noise FROM l GROUP BY doc_id")
+def page_noise(spark, d):
+    lines = load(spark, d, "documents").select("doc_id", F.explode(F.split(F.concat("text", F.lit("\n© x\nend．")), "\n", -1)).alias("line"))
+    return lines.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(pg.is_noise(F.col("line"), NOISE, STOPS)).alias("noise"))
+
+
+@query("SELECT page_id, CAST(CASE WHEN page_id % 5 = 0 THEN 404 ELSE 200 END AS INTEGER) AS status, CASE WHEN page_id % 5 <> 0 THEN sha256(html) END AS body, CASE WHEN page_id % 5 = 0 THEN 'status 404' END AS error FROM pages")
+def raw_responses(spark, d):
+    head = F.concat(F.when(F.col("page_id") % 5 == 0, "HTTP/1.1 404 Not Found").otherwise("HTTP/1.1 200 OK"), F.lit("\r\nContent-Type: text/html"), F.when(F.col("page_id") % 2 == 0, "; charset=utf-8").otherwise(""))
+    chunked = F.concat(F.lit("\r\nTransfer-Encoding: chunked\r\n\r\n"), F.lower(F.hex(F.octet_length("html"))), F.lit("\r\n"), F.col("html"), F.lit("\r\n0\r\n\r\n"))
+    raw = F.concat(head, F.when(F.col("page_id") % 3 == 0, chunked).otherwise(F.concat(F.lit("\r\n\r\n"), F.col("html")))).cast("binary")
+    found = load(spark, d, "pages").select("page_id", rw.parse_response(raw).alias("r"))
+    return found.select("page_id", "r.status", digest(F.col("r.body")).alias("body"), "r.error")
+
+
+@query("SELECT s_suppkey AS k, s_name AS title, 'about ' || s_name AS summary, 'nation: ' || s_nationkey || '、b' AS info, 'https://h/' || s_suppkey AS image FROM supplier WHERE s_suppkey % 4 <> 0")
+def raw_cards(spark, d):
+    k = F.col("s_suppkey").cast("string")
+    entry = lambda name, *values: F.concat(F.lit(f'{{"name":"{name}","value":['), F.concat_ws(",", *[F.concat(F.lit('"'), v, F.lit('"')) for v in values]), F.lit("]}"))
+    nation = F.concat(F.lit("nation: "), F.col("s_nationkey").cast("string"))
+    card = F.concat(F.lit('{"errno":'), F.when(F.col("s_suppkey") % 4 == 0, "2").otherwise("0"), F.lit(',"key":"'), F.col("s_name"), F.lit('","desc":"about '), F.col("s_name"), F.lit('","image":"//h/'), k, F.lit('","card":['), entry("info", nation, F.lit("<i>b</i>"), nation), F.lit(","), entry("empty", F.lit(" ")), F.lit("]}"))
+    found = load(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), rw.parse_card(card).alias("c")).filter("c is not null")
+    return found.select("k", "c.title", "c.summary", F.col("c.basic_info")["info"].alias("info"), F.element_at("c.images", 1).alias("image"))
+
+
+@query("SELECT n_nationkey AS k, 'r' || n_regionkey AS region, n_name AS name, 2 AS n FROM nation")
+def raw_infobox(spark, d):
+    html = F.concat(F.lit("<dl><dt>Region：</dt><dd>old</dd><dt class='x'>Region</dt><dd>r"), F.col("n_regionkey").cast("string"), F.lit("</dd><dt>Name:</dt><dd><b>"), F.col("n_name"), F.lit("</b></dd><dt>Blank</dt><dd> </dd><dt>Alone</dt></dl>"))
+    found = load(spark, d, "nation").select(F.col("n_nationkey").alias("k"), rw.infobox(html).alias("i"))
+    return found.select("k", F.col("i")["Region"].alias("region"), F.col("i")["Name"].alias("name"), F.size("i").alias("n"))
+
+
+@query("SELECT c_custkey AS k, CASE WHEN c_custkey % 3 <> 0 THEN 'html' WHEN c_custkey % 2 = 0 THEN 'card' END AS source FROM customer")
+def raw_html_or_card(spark, d):
+    k = F.col("c_custkey")
+    return load(spark, d, "customer").select(k.alias("k"), rw.html_or_card(F.when(k % 3 != 0, "html"), F.when(k % 2 == 0, "card")).alias("source"))
+
+
+@query("SELECT trim(role) AS keyword, count(*) AS n FROM (SELECT CASE WHEN turn % 3 = 0 THEN ' ' ELSE role || '  ' END AS role FROM conversations) WHERE trim(role) <> '' GROUP BY ALL")
+def raw_keywords(spark, d):
+    rows = load(spark, d, "conversations").select(F.when(F.col("turn") % 3 == 0, " ").otherwise(F.concat("role", F.lit("  "))).alias("role"))
+    return rw.keywords(rows, "role").groupBy("keyword").agg(F.count(F.lit(1)).alias("n"))
 
 
 LINES_SQL = "(SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents)"

@@ -8,6 +8,7 @@ from graphloom import lexicon as lx
 from graphloom.functions import text as tx
 from graphloom.operators import extract as ex
 from graphloom.operators.merge import best_edges, merge_nodes
+from graphloom.plans import medical_sql
 from graphloom.plans.registry import query
 from graphloom.plans.trade import GRAPH_SQL, load, raw_edges
 
@@ -32,6 +33,11 @@ def ext_known_terms(spark, d):
     return lines.select("doc_id", F.explode(ex.known_terms(F.col("sentence"), TERMS)).alias("term")).groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(f"SELECT doc_id, array_to_string(list_filter({sorted(TERMS, key=lambda t: -len(t))!r}, lambda w: contains(text, w)), ',') AS terms FROM documents")
+def ext_known_order(spark, d):
+    return load(spark, d, "documents").select("doc_id", F.array_join(ex.known_terms(F.col("text"), TERMS), ",").alias("terms"))
+
+
 ENDINGS = "[A-Za-z]{2,24}(?:tion|ment|keit)"
 
 
@@ -169,13 +175,13 @@ def medical_documents(spark, d):
     )
 
 
-@query()
+@query(medical_sql.NODES_SQL)
 def ext_medical_nodes(spark, d):
     nodes, _ = ex.extract(medical_documents(spark, d))
     return merge_nodes(nodes, longest=False)
 
 
-@query()
+@query(medical_sql.EDGES_SQL)
 def ext_medical_edges(spark, d):
     _, edges = ex.extract(medical_documents(spark, d))
     return best_edges(edges)

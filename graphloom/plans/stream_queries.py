@@ -27,3 +27,8 @@ def st_tumbling_counts(spark, d):
 @query("SELECT user_id, event_type, ts, event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1")
 def st_upsert(spark, d):
     return latest(load(spark, d, "events").select("user_id", "event_type", "ts", "event_id"), ("user_id", "event_type"), "ts").select("user_id", "event_type", "ts", F.col("event_id"))
+
+
+@query("SELECT user_id, event_type, last_at, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY last_at DESC, event_type) AS rank FROM (SELECT user_id, event_type, max(ts) AS last_at FROM events GROUP BY ALL)) WHERE rank <= 3")
+def st_history_state(spark, d):
+    return pipelines.history(load(spark, d, "events"), "user_id", "ts", "event_type", 3)

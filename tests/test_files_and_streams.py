@@ -1,3 +1,5 @@
+import itertools
+
 from pyspark.sql import functions as F
 
 from graphloom.operators import documents as ops
@@ -44,6 +46,26 @@ def test_streams_give_what_tables_give(spark, tmp_path):
         q.stop()
 
 
+def test_history_of_a_stream(spark, tmp_path):
+    events = trade.load(spark, DATA, "events").select("user_id", "event_type", "ts", "event_id")
+    late = {0: 1, 1: 0, 2: 2}  # the batches come out of order
+    for part in range(3):
+        events.filter(f"event_id % 3 = {late[part]}").coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{tmp_path}/in")
+    seen = {}
+
+    def keep(batch, number):
+        for user, rows in itertools.groupby(sorted(map(tuple, batch.collect())), key=lambda r: r[0]):
+            seen[user] = list(rows)
+
+    writer = pipelines.history(stream, "user_id", "ts", "event_type", 2).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", f"{tmp_path}/c")
+    query = writer.start()
+    query.processAllAvailable()
+    query.stop()
+    expected = pipelines.history(events, "user_id", "ts", "event_type", 2).withColumn("last_at", F.col("last_at").cast("timestamp"))
+    assert sorted(r for rows in seen.values() for r in rows) == sorted(map(tuple, expected.collect()))
+
+
 def test_login_needs_the_password(spark):
     users = spark.createDataFrame([("u", "s", "r")], "username string, salt string, role string").withColumn("password_hash", us.hashed(F.lit("pw"), F.col("salt")))
     prefs = spark.createDataFrame([("u", 2, "b"), ("u", 1, "a")], "username string, id int, preference string")

@@ -150,7 +150,7 @@ class Chunk:
 
 
 def pack(ids: list, folds: list[int], texts: list[bytes]) -> bytes:
-    return zstandard.compress(pickle.dumps((ids, folds, texts), 5), 1)
+    return zstandard.compress(pickle.dumps((ids, folds, texts), 5), 5)
 
 
 CHUNK = pa.schema([("chunk", pa.int64()), ("deleted", pa.bool_()), ("size", pa.int64()), ("packed", pa.binary())])

@@ -14,11 +14,12 @@ words nearly all words are others, so that only the characters tell.
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,6 +34,8 @@ COMMON = {
     "de": "der die und in den von zu das mit sich des auf ist im dem nicht ein eine als auch es an für er sie aus bei nach".split(),
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha".split(),
 }
+#: Bins of a share, from 0 to 1.
+BINS = 16_384
 MIN_CHARS = 200
 MIN_WORDS = 50
 #: Either distance alone rejects beyond these ...
@@ -151,15 +154,56 @@ def distance(p: F.Column, q: F.Column) -> F.Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda s, x: s + x) / 2, F.lit(0.0)))
 
 
-def reference(judged: DataFrame, key: str, counts: str, total: F.Column, size: int, name: str) -> DataFrame:
-    """Median share of each place over the documents of a key, scaled to sum 1. One row per language: bounded by the languages.
-
-    Each share is taken from its count alone: an array of shares would be built anew for every place.
+def binned(judged: DataFrame, size: int, min_chars: int, min_words: int) -> DataFrame:
+    """(key, place, bin, n, total) per batch of judged(key, n_chars, n_words, class_counts, word_counts): how many documents have a
+    share of that bin, and the sum of their shares. Places are the classes, then the ``size`` words."""
+    every = len(CLASSES) + size
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            keys = batch.column(0).dictionary_encode()
+            of = keys.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+            sides, first = [], 0
+            for total, counts, least in ((1, 3, min_chars), (2, 4, min_words)):
+                size = batch.column(total).to_numpy(zero_copy_only=False).astype(np.float64)
+                table = np.asarray(batch.column(counts).flatten()).reshape(batch.num_rows, -1)
+                long = size >= max(least, 1)
+                share = table[long] / size[long, None]
+                places = table.shape[1]
+                level = np.minimum((share * BINS).astype(np.int64), BINS - 1)
+                sides.append((((of[long, None] * every + first + np.arange(places)) * BINS + level).ravel(), share.ravel()))
+                first += places
+            flat, share = (np.concatenate(x) for x in zip(*sides))
+            cell, place, n = np.unique(flat, return_inverse=True, return_counts=True)
+            head, level = np.divmod(cell, BINS)
+            key, at = np.divmod(head, every)
+            yield pa.RecordBatch.from_arrays([keys.dictionary.take(pa.array(key)), pa.array(at.astype(np.int32)), pa.array(level.astype(np.int32)), pa.array(n), pa.array(np.bincount(place, share, len(cell)))], names=["key", "place", "bin", "n", "total"])
+
+    return judged.select("key", "n_chars", "n_words", "class_counts", "word_counts").mapInArrow(run, "key string, place int, bin int, n long, total double")
+
+
+def references(judged: DataFrame, size: int, min_chars: int, min_words: int) -> DataFrame:
+    """(key, class_ref, word_ref): the median share of each place over the documents of a key, each histogram scaled to sum 1.
+
+    Shares are counted in bins, so that the sums of all documents spread over keys, places and bins and combine
+    before they travel; of a place's median bin the mean share is taken, off by less than 1 / ``BINS``. What is left per
+    key and place is bounded by the bins.
     """
-    medians = F.array(*[F.percentile_approx(F.col(counts)[i] / total, 0.5, 1000) for i in range(size)])
-    table = judged.groupBy(key).agg(medians.alias("m"))
-    whole = F.aggregate(F.col("m"), F.lit(0.0), lambda a, x: a + x)
-    return table.select(F.col(key).alias("ref_key"), F.when(whole > 0, F.transform("m", lambda x: x / whole)).alias(name))
+    cells = binned(judged, size, min_chars, min_words).groupBy("key", "place", "bin").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+    whole = Window.partitionBy("key", "place")
+    ranked = cells.withColumn("upto", F.sum("n").over(whole.orderBy("bin"))).withColumn("all", F.sum("n").over(whole))
+    middle = ranked.filter((F.col("upto") >= F.col("all") / 2) & (F.col("upto") - F.col("n") < F.col("all") / 2))
+    medians = middle.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("place", (F.col("total") / F.col("n")).alias("m")))).alias("all"))
+    one = lambda classes: F.transform(F.filter("all", lambda x: (x["place"] < len(CLASSES)) == classes), lambda x: x["m"])
+    sides = medians.select("key", one(F.lit(True)).alias("class_ref"), one(F.lit(False)).alias("word_ref"))
+
+    def scaled(c: str, places: int) -> F.Column:
+        total = F.aggregate(F.col(c), F.lit(0.0), lambda a, x: a + x)
+        return F.when((F.size(c) == places) & (total > 0), F.transform(F.col(c), lambda x: x / total)).alias(c)
+
+    return sides.select(F.col("key").alias("ref_key"), scaled("class_ref", len(CLASSES)), scaled("word_ref", size))
 
 
 def judge(
@@ -197,10 +241,9 @@ def judge(
     chars, words = F.col("n_chars"), F.col("n_words")
     long_enough = {"class": chars >= max(min_chars, 1), "word": words >= max(min_words, 1)}
     good = seen.filter(~F.col("base_failed"))
-    by_class = reference(good.filter(long_enough["class"]), "key", "class_counts", chars, len(CLASSES), "class_ref")
-    by_word = reference(good.filter(long_enough["word"]), "key", "word_counts", words, size, "word_ref")
+    own = references(good, size, min_chars, min_words)
     # a row per language; a common one is broadcast, so that its documents, text and all, stay where they are
-    languages = seen.groupBy("key").agg(F.count(F.lit(1)).alias("of_key")).join(by_class.join(by_word, "ref_key", "full"), F.col("key") == F.col("ref_key"), "left")
+    languages = seen.groupBy("key").agg(F.count(F.lit(1)).alias("of_key")).join(own, F.col("key") == F.col("ref_key"), "left")
     refs = materialize(languages.select("key", "of_key", "class_ref", "word_ref"), "references")
     out = join_by_share(seen, refs, "key", "of_key", refs.agg(F.coalesce(F.sum("of_key"), F.lit(0))).first()[0])
     out = out.withColumns(

@@ -227,7 +227,8 @@ def judge(
     Null texts count as empty; a null language is a language of its own. A document under
     ``min_chars`` characters or ``min_words`` words has no distance of that kind (null) and isn't
     rejected by it; nor is one whose language has no reference. Repeated rows stay repeated; an empty
-    table gives an empty result. Documents don't travel: only per-language medians are shuffled.
+    table gives an empty result. Documents don't travel, but for those of languages with under a thousandth of all
+    rows: counts of shares are shuffled.
     """
     size = len({w for ws in common.values() for w in ws}) + 1
     if carry is not None and lang in docs.columns:

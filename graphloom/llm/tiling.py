@@ -178,7 +178,7 @@ def mark_leaks(
 
     Null texts count as empty; an empty document or an empty item leaks nothing. An item with fewer
     than ``min_match`` tokens leaks if it occurs whole. Repeated documents and repeated items give
-    repeated results. Without items, ``leaks`` is empty everywhere. No shuffle: the benchmark is the
+    repeated results. Item ids must be whole numbers of 64 bits. Without items, ``leaks`` is empty everywhere. No shuffle: the benchmark is the
     query set and travels in blocks of bounded size.
     """
     spark = docs.sparkSession

@@ -45,6 +45,22 @@ def test_stages_take_effect(spark, tmp_path):
         assert stage(spark, empty, str(tmp_path)).count() == 0
 
 
+def test_columns_of_any_name_and_type_pass_through(spark, tmp_path):
+    rng = random.Random(2)
+    texts = [prose(rng, 90) for _ in range(6)]
+    extra = "`a.b` string, `x y` int, class_id long, row string, kept boolean, tags map<string,int>, spans array<string>"
+    rows = [(i, t, "en", "s", len(t), "d", 1, 2, "r", False, {"k": 1}, ["z"]) for i, t in enumerate(texts)]
+    rows += [rows[0], (0, texts[0], None, None, None, None, None, None, None, None, None, None), (None, texts[1], None, None, None, "d", None, None, None, None, {}, [])]
+    docs = spark.createDataFrame(rows, f"{SCHEMA}, {extra}")
+    spark.createDataFrame([(1, "no such text")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and [f.dataType for f in out.schema] == [f.dataType for f in docs.schema], name
+        docs = spark.createDataFrame(out.collect(), docs.schema)
+    assert sorted(-1 if r.doc_id is None else r.doc_id for r in docs.collect()) == [-1, 0, 1, 2, 3, 4, 5]
+    assert corpus_pipeline.STAGES[-1][1](spark, docs, str(tmp_path)).count() == 7
+
+
 def test_nothing_else_imports_the_subpackage():
     root = Path(corpus_pipeline.__file__).parent
     for path in (root / "graphloom").rglob("*.py"):

@@ -10,8 +10,8 @@ REFERENCE = re.compile(r"\[[0-9]+(?:-[0-9]+)?\]")
 BLANKS = re.compile(r"[ \t\r\f\v]+")
 
 
-def clean_text(text: str | None) -> str:
-    """No character references or reference marks, blank runs as one space, lines trimmed and blank lines dropped."""
-    text = REFERENCE.sub("", html.unescape(text or "").translate({0xA0: " ", 0x3000: " "}))
+def clean_text(text: str | None, decoded: bool = False) -> str:
+    """No character references (unless they are ``decoded`` already) or reference marks, blank runs as one space, lines trimmed and blank lines dropped."""
+    text = REFERENCE.sub("", ((text or "") if decoded else html.unescape(text or "")).translate({0xA0: " ", 0x3000: " "}))
     lines = (BLANKS.sub(" ", line).strip() for line in text.splitlines())
     return "\n".join(line for line in lines if line)

@@ -6,6 +6,8 @@ the parts is column expressions or plain functions on them. A page that asks for
 
 from __future__ import annotations
 
+import re
+from html.entities import html5
 from html.parser import HTMLParser
 from urllib.parse import quote, urljoin
 
@@ -28,6 +30,8 @@ COLONS = ":： "
 IMAGES = 12
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 UNREAD = {"script", "style", "template"}
+#: A character reference, or an ampersand that opens none: a reference ends in a semicolon.
+REFERENCE = re.compile("&((?:#[0-9]+|#[xX][0-9A-Fa-f]+|[A-Za-z][A-Za-z0-9]*);)?")
 
 PARTS = T.StructType(
     [
@@ -109,20 +113,29 @@ class Parts(HTMLParser):
                     texts.append(text)
 
 
+def bare_ampersands(page: str) -> str:
+    """The page with each ampersand that opens no reference as one, so that the parser reads it as it stands."""
+    return REFERENCE.sub(lambda m: m[0] if m[1] and (m[1][0] == "#" or m[1] in html5) else f"&amp;{m[0][1:]}", page)
+
+
 def parts(page: str | None, url: str | None = None) -> dict:
-    """The parts of a page; image addresses are made absolute by ``url``. A null page has none."""
+    """The parts of a page; image addresses are made absolute by ``url``. A null page has none.
+
+    The parser decodes references, once.
+    """
     parser = Parts()
-    parser.feed(page or "")
+    parser.feed(bare_ampersands(page or ""))
     parser.close()
-    of = lambda role, between="\n": [clean_text(between.join(texts)) for r, texts in parser.found if r == role]
+    clean = lambda text: clean_text(text, decoded=True)
+    of = lambda role, between="\n": [clean(between.join(texts)) for r, texts in parser.found if r == role]
     first = lambda found: next(iter(found), "")
     info = {k.strip(COLONS): v for k, v in zip(of("name", ""), of("value", "")) if k.strip(COLONS) and v}
-    lines = [{"heading": r == "heading", "text": clean_text(("" if r == "heading" else "\n").join(t))} for r, t in parser.found if r in ("heading", "paragraph")]
+    lines = [{"heading": r == "heading", "text": clean(("" if r == "heading" else "\n").join(t))} for r, t in parser.found if r in ("heading", "paragraph")]
     images = [urljoin(url or "", f"https:{i}" if i.startswith("//") else i) for i in parser.images if not i.startswith("data:")]
     return {
         "page_title": first(of("title", "")),
         "title": first(of("h1", "")),
-        "summary": first(of("summary")) or clean_text(parser.meta),
+        "summary": first(of("summary")) or clean(parser.meta),
         "basic_info": info,
         "lines": [x for x in lines if x["text"]],
         "images": list(dict.fromkeys(images))[:IMAGES],

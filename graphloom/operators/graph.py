@@ -9,6 +9,8 @@ limited neighbourhood (at most ``ROWS_MULTI_HOP``) can be brought to the driver
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,8 @@ MAX_DEPTH = 3
 SUGGESTIONS = 20
 #: Nodes that may travel by way of the driver.
 FRONTIER = 5_000
+#: Reads the edges whose column ("src" or "dst") is among some ids: for a source that can do better than a filter.
+EdgesAt = Callable[[str, list[str]], DataFrame]
 
 
 def labelled(vertices: DataFrame, labels: tuple[str, ...], category: int | None = None) -> DataFrame:
@@ -50,22 +54,22 @@ def small(frame: DataFrame, limit: int) -> DataFrame:
     return frame.sparkSession.createDataFrame(rows) if rows.num_rows <= limit else frame
 
 
-def touching(edges: DataFrame, column: str, nodes: DataFrame) -> DataFrame:
-    """Edges whose ``column`` is among ``nodes`` (node, ...)."""
+def touching(edges: DataFrame, column: str, nodes: DataFrame, at: EdgesAt | None = None) -> DataFrame:
+    """Edges whose ``column`` is among ``nodes`` (node, ...); few nodes are looked up by ``at`` where it is given."""
     wanted = nodes.select("node").distinct()
     ids = [r.node for r in wanted.limit(FRONTIER + 1).collect()]
     if len(ids) <= FRONTIER:
-        return edges.filter(F.col(column).isin(ids))
+        return edges.filter(F.col(column).isin(ids)) if at is None else at(column, ids).select(*edges.columns)
     return edges.join(wanted.withColumnRenamed("node", column), column, "left_semi")
 
 
-def incident(edges: DataFrame, frontier: DataFrame) -> DataFrame:
+def incident(edges: DataFrame, frontier: DataFrame, at: EdgesAt | None = None) -> DataFrame:
     """Edges at the nodes of ``frontier`` (node, ...): its columns, the edge and the node at the other end.
 
     Two joins, one per direction, so that each can use the small side and its filters. A loop counts once.
     """
-    out = frontier.join(touching(edges, "src", frontier), F.col("node") == F.col("src")).withColumn("other", F.col("dst"))
-    back = frontier.join(touching(edges, "dst", frontier).filter("src != dst"), F.col("node") == F.col("dst")).withColumn("other", F.col("src"))
+    out = frontier.join(touching(edges, "src", frontier, at), F.col("node") == F.col("src")).withColumn("other", F.col("dst"))
+    back = frontier.join(touching(edges, "dst", frontier, at).filter("src != dst"), F.col("node") == F.col("dst")).withColumn("other", F.col("src"))
     return out.unionByName(back)
 
 
@@ -83,7 +87,7 @@ def one_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], name
     return start.join(links, "node", "left")
 
 
-def multi_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], name: str, depth: int, category: int | None = None, limit: int = ROWS_MULTI_HOP) -> DataFrame:
+def multi_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], name: str, depth: int, category: int | None = None, limit: int = ROWS_MULTI_HOP, at: EdgesAt | None = None) -> DataFrame:
     """Rows (end node of a path, edge of the path) over undirected paths of 1 to ``depth`` edges that use no
     edge twice; the category holds for the end node only. The first ``limit`` by hop, end name, path and edge.
 
@@ -99,9 +103,11 @@ def multi_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], na
     for hop in range(1, depth + 1):
         # all paths to a node go on by the same edges: these are looked up once per node
         nodes = small(paths.select("node").distinct(), FRONTIER)
-        steps = incident(slim, nodes).select("node", "edge_id", "src", "other")
+        steps = incident(slim, nodes, at).select("node", "edge_id", "src", "other")
         paths = paths.join(steps, "node").filter(~F.array_contains("path", F.col("edge_id")))
         paths = paths.select(F.col("other").alias("node"), F.concat("path", F.array("edge_id")).alias("path"), F.concat("tails", F.array("src")).alias("tails"))
+        if hop < depth:
+            paths = small(paths, FRONTIER)  # the next hop reads them several times
         ends = paths.join(wanted, "node").select("node", "path", "tails", F.lit(hop).alias("hop"), "end_name", F.concat_ws("/", "path").alias("path_id"))
         # a path has a row for each of its edges; the least paths cover the limit, so only they are taken apart
         own = small(ends.orderBy(*order).limit(limit), limit)
@@ -116,14 +122,15 @@ def multi_hop(vertices: DataFrame, edges: DataFrame, labels: tuple[str, ...], na
 def nodes_of(rows: DataFrame, vertices: DataFrame, labels: tuple[str, ...], name: str, column: str) -> DataFrame:
     """Distinct nodes of a neighbourhood: the ends and the centre."""
     ids = rows.select(F.col(column).alias("node_id")).filter("node_id is not null").union(centre(vertices, labels, name).select("node_id")).distinct()
+    ids = small(ids, FRONTIER)
     return vertices.join(ids, "node_id", "left_semi")
 
 
-def edges_of(rows: DataFrame, edges: DataFrame) -> DataFrame:
+def edges_of(rows: DataFrame, edges: DataFrame, at: EdgesAt | None = None) -> DataFrame:
     """The edges of a neighbourhood. Edge ids say nothing of where an edge is stored, so rows with both ends narrow the scan."""
     ids = rows.select("edge_id").filter("edge_id is not null").distinct()
     if "src" in rows.columns:
-        edges = touching(edges, "src", rows.select(F.col("src").alias("node")).filter("node is not null"))
+        edges = touching(edges, "src", rows.select(F.col("src").alias("node")).filter("node is not null"), at)
     return edges.join(ids, "edge_id", "left_semi")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from graphloom.functions import text as tx
 from graphloom.operators import graph
 from graphloom.plans.registry import query
-from graphloom.plans.trade import GRAPH_SQL, edges, vertices
+from graphloom.plans.trade import GRAPH_SQL, edges, edges_at, vertices
 from graphloom.schema import TRADE
 
 L = TRADE.labels
@@ -125,7 +125,12 @@ he AS (SELECT * FROM e WHERE edge_id IN (SELECT edge_id FROM k))"""
 
 def _paths(spark, d, name, depth, category=None):
     v, e = vertices(spark, d), edges(spark, d)
-    return v, e, graph.multi_hop(v, e, L, name, depth, category)
+    return v, e, graph.multi_hop(v, e, L, name, depth, category, at=edges_at(spark, d))
+
+
+def _drawn(spark, d, v, e, rows):
+    """The edges of a limited neighbourhood, so few that their ends' names are found without a shuffle."""
+    return graph.display_edges(graph.small(graph.edges_of(rows, e, edges_at(spark, d)), graph.ROWS_MULTI_HOP), v)
 
 
 @query(f"{paths_sql('AFRICA', 2)} {NODE_SQL}")
@@ -136,14 +141,12 @@ def kg_multihop2_nodes(spark, d):
 
 @query(f"{paths_sql(CUSTOMER, 2, 'n.category = 4')} {EDGE_SQL}")
 def kg_multihop2_category(spark, d):
-    v, e, rows = _paths(spark, d, CUSTOMER, 2, 4)
-    return graph.display_edges(graph.edges_of(rows, e), v)
+    return _drawn(spark, d, *_paths(spark, d, CUSTOMER, 2, 4))
 
 
 @query(f"{paths_sql('AFRICA', 3, 'n.category = 3')} {EDGE_SQL}")
 def kg_multihop3_rels(spark, d):
-    v, e, rows = _paths(spark, d, "AFRICA", 3, 3)
-    return graph.display_edges(graph.edges_of(rows, e), v)
+    return _drawn(spark, d, *_paths(spark, d, "AFRICA", 3, 3))
 
 
 @query(f"{GRAPH_SQL} SELECT p.name FROM v s JOIN e ON e.src = s.node_id JOIN v p ON p.node_id = e.dst WHERE s.name = '{SUPPLIER}' AND s.label = 'Supplier' AND p.label = 'Part' AND e.rel_type = 'SUPPLIES'")

@@ -1,6 +1,6 @@
 """Rendered pages to documents: title, summary, basic information, sections and images.
 
-Spark has no HTML parser, so a page's markup is read by the standard library's, in Arrow batches; what is done with
+Spark has no HTML parser, so a page's markup is read by the standard library's, in Python; what is done with
 the parts is column expressions or plain functions on them. A page that asks for a security check has none.
 """
 
@@ -142,10 +142,8 @@ def parts(page: str | None, url: str | None = None) -> dict:
     }
 
 
-@pandas_udf(PARTS)
-def page_parts(page: pd.Series, url: pd.Series) -> pd.DataFrame:
-    rows = [parts(p, u) for p, u in zip(page, url)]
-    return pd.DataFrame(rows, columns=PARTS.names)
+#: ``parts`` of a column of pages, some at a time: an Arrow batch would hold 10,000 pages and their parts at once.
+page_parts = F.udf(parts, PARTS, useArrow=False)
 
 
 def is_security_page(title: Column, html: Column) -> Column:

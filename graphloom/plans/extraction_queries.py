@@ -160,7 +160,9 @@ def medical_documents(spark, d):
     pick = lambda words, n: F.element_at(F.array(*[F.lit(w) for w in words]), (F.col("s_suppkey") * n % len(words) + 1).cast("int"))
     disease, symptom, drug, exam, cure = pick(lx.RECALL_DISEASES, 1), pick(lx.RECALL_SYMPTOMS, 3), pick(lx.RECALL_DRUGS, 5), pick(lx.RECALL_EXAMS, 7), pick(lx.RECALL_TREATMENTS, 11)
     section = lambda heading, *content: F.struct(F.lit(heading).alias("heading"), F.concat(*content).alias("content"))
-    return load(spark, d, "supplier").select(
+    # the keys are few bytes in one file, the work that they give is for all cores
+    keys = load(spark, d, "supplier").select("s_suppkey").repartition(4 * spark.sparkContext.defaultParallelism, "s_suppkey")
+    return keys.select(
         F.col("s_suppkey").cast("string").alias("doc_id"),
         disease.alias("title"),
         disease.alias("keyword"),

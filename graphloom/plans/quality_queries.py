@@ -91,8 +91,7 @@ def qa_edges_clean(spark, d):
 
 
 def _pruned(spark, d):
-    nodes, edges = qa.clean_nodes(judged_nodes(spark, d)), qa.clean_edges(judged_edges(spark, d))
-    return (*qa.prune(nodes, qa.good_edges(judged_edges(spark, d)), "Supplier"), edges)
+    return qa.prune(qa.clean_nodes(judged_nodes(spark, d)), qa.good_edges(judged_edges(spark, d)), "Supplier")
 
 
 @query(f"WITH {EDGES_SQL} SELECT node_id, name, label FROM pk")
@@ -107,8 +106,8 @@ def qa_prune_reject(spark, d):
 
 @query(f"WITH {EDGES_SQL} SELECT src, dst, rel_type, source_doc_id FROM ce WHERE src IN (SELECT node_id FROM pk) AND dst IN (SELECT node_id FROM pk)")
 def qa_final_edges(spark, d):
-    kept, _, edges = _pruned(spark, d)
-    return qa.edges_between(edges, kept).select("src", "dst", "rel_type", "source_doc_id")
+    # pruning takes no end of a clean edge: that node has an edge
+    return qa.postprocess(judged_nodes(spark, d), judged_edges(spark, d), "Supplier").edges.select("src", "dst", "rel_type", "source_doc_id")
 
 
 @query(
